@@ -1,129 +1,185 @@
 """Toxicity by cumulative-link ordinal regression.
 
-P(grade > k) = sigmoid(w . x - threshold k): all thresholds share the weights w over sparse text features, the presence
-of words. The words are chosen on the fitted sample by the significance of their association with the grade, so
-the weights of all other words are exactly zero and a long clean text gathers no noise.
+P(grade > k) = sigmoid(w . x - threshold k): all thresholds share the weights w over sparse text features. A feature is a
+word, or a word's beginning of 4 to 7 letters, that occurs at least once, twice or four times. Features are chosen on
+the fitted sample by the significance of their association with the grade, so all other weights are exactly zero
+and a long clean text gathers no noise. Weights and thresholds are found by Newton's method with a ridge penalty.
 
-`labels` marks documents 0 or 1 only. weak_grades splits the 1s at the median number of distinct words that tell them
-from the 0s, so grade 1 is mild and grade 2 severe. Any other grades can be given to fit.
+`labels` marks documents 0 or 1 only. The query splits the 1s at the median number of telling features they hold, so
+grade 1 is mild and grade 2 severe. Any other grades can be given to fit.
 
-Defined results: a null or empty text holds no words: its severity is that of the thresholds alone. Label rows with a
-null doc_id or label are left out, repeated ones count each. Without toxic labels all texts have severity 0.
+Defined results: a null or empty text holds no features: its severity is that of the thresholds alone. Label rows with
+a null doc_id or label are left out; copies of a text with the same label count once. Without toxic labels all texts
+have a severity of about 0.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, keyed, series_udf
+from .common import ID, TEXT, keyed, series_udf, shared_table
 from .quality import labelled_sample
 
 WORDS = bytes(i if 97 <= i <= 122 or i >= 128 else i + 32 if 65 <= i <= 90 else 32 for i in range(256))
+LEVELS = (1, 2, 4)
+BEGINNINGS = (4, 5, 6, 7)
 
 
 @dataclass(frozen=True)
 class OrdinalConfig:
-    sample: int = 6_000  # labelled rows that are fitted at most
-    words: int = 4096  # features at most
+    sample: int = 8_000  # labelled rows that are fitted at most
+    features: int = 400  # at most
     least_documents: int = 4
     least_z: float = 4.0
-    steps: int = 400
-    rate: float = 0.3
-    decay: float = 1e-3
+    ridge: float = 0.3
+    rounds: int = 25
     reject: float = 0.5  # P(grade > 0) from which a text is rejected
 
 
-def words_in(text: str) -> set[bytes]:
-    return set(text.encode().translate(WORDS).split())
+def parts_of(word: bytes) -> list[str]:
+    """The word, marked by a $, and its beginnings."""
+    letters = word.decode()
+    return [letters + "$", *(letters[:n] for n in BEGINNINGS if len(letters) >= n)]
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode().translate(WORDS).split()
+
+
+def features_of(counts: Counter) -> list[str]:
+    return [f"{part} {level}" for part, n in counts.items() for level in LEVELS if n >= level]
+
+
+def all_features(text: str) -> list[str]:
+    counts: Counter = Counter()
+    for word, n in Counter(words_of(text)).items():
+        for part in parts_of(word):
+            counts[part] += n
+    return features_of(counts)
+
+
+class _Parts(dict):
+    """Of a word, the parts that a chosen feature names."""
+
+    def __missing__(self, word):
+        if len(self) > 300_000:
+            self.clear()
+        out = self[word] = tuple(p for p in parts_of(word) if p in self.named)
+        return out
+
+
+class Extractor:
+    def __init__(self, features):
+        self.features = set(features)
+        self.parts = _Parts()
+        self.parts.named = {f.rpartition(" ")[0] for f in self.features}
+
+    def __call__(self, text: str) -> list[str]:
+        counts: Counter = Counter()
+        for parts in filter(None, map(self.parts.__getitem__, words_of(text))):
+            counts.update(parts)
+        return sorted(f for f in features_of(counts) if f in self.features)
 
 
 @dataclass
 class OrdinalModel:
-    weights: dict[bytes, float] = field(default_factory=dict)
-    thresholds: list[float] = field(default_factory=list)
+    weights: dict[str, float]
+    thresholds: list[float]
 
-    def above(self, text: str) -> np.ndarray:
+    def above(self, features: list[str]) -> np.ndarray:
         """P(grade > k) for each k."""
-        found = self.weights.keys() & words_in(text) if self.weights else ()
-        z = sum(self.weights[w] for w in sorted(found))
+        z = sum(self.weights[f] for f in features)
         return 1 / (1 + np.exp(-np.clip(z - np.array(self.thresholds), -40, 40)))
 
 
-def telling_words(texts: list[set[bytes]], positive: np.ndarray, config: OrdinalConfig) -> list[bytes]:
-    """Words whose share among the positive rows exceeds that among the others by least_z standard errors or more."""
-    n1, n0 = int(positive.sum()), int((~positive).sum())
-    if not n1 or not n0:
-        return []
-    yes, no = Counter(), Counter()
-    for words, p in zip(texts, positive, strict=True):
-        (yes if p else no).update(words)
-    out = []
-    for word, a in yes.items():
-        if a >= config.least_documents:
-            both = (a + no[word] + 1) / (n1 + n0 + 2)
-            z = (a / n1 - no[word] / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
-            if z >= config.least_z:
-                out.append((-z, word))
-    return [w for _, w in sorted(out)[: config.words]]
-
-
-def weak_grades(texts: list[set[bytes]], toxic: np.ndarray, config: OrdinalConfig) -> np.ndarray:
-    telling = set(telling_words(texts, toxic == 1, config))
-    held = np.array([len(telling & t) for t in texts])
-    middle = np.median(held[toxic == 1]) if (toxic == 1).any() else 0
-    return np.where(toxic == 1, 1 + (held > middle), 0)
-
-
-def fit(texts: list[set[bytes]], grades: np.ndarray, config: OrdinalConfig = OrdinalConfig()) -> OrdinalModel:
+def fit(features: list[list[str]], grades: np.ndarray, config: OrdinalConfig = OrdinalConfig()) -> OrdinalModel:
+    """Least sum over thresholds of the logistic losses of grade > k, by Newton steps."""
     top = int(grades.max()) if len(grades) else 0
-    words = telling_words(texts, grades > 0, config)
     if not top:
-        return OrdinalModel({}, [40.0])
-    index = {w: i for i, w in enumerate(words)}
-    owner, column = np.array([(i, index[w]) for i, t in enumerate(texts) for w in sorted(t & index.keys())], dtype=np.int64).reshape(-1, 2).T
-    n, above = len(texts), (grades[:, None] > np.arange(top)).astype(float)
-    weights = np.zeros(len(words))
-    rate = above.mean(0).clip(1e-3, 1 - 1e-3)
-    cut = np.maximum.accumulate(np.log((1 - rate) / rate))
-    sums, sums_cut = np.full(len(words), 1e-8), np.full(top, 1e-8)
-    for _ in range(config.steps):
-        z = np.bincount(owner, weights=weights[column], minlength=n)
-        g = 1 / (1 + np.exp(-np.clip(z[:, None] - cut, -40, 40))) - above
-        grad = np.bincount(column, weights=g.sum(1)[owner], minlength=len(words)) / n + config.decay * weights
-        grad_cut = -g.sum(0) / n
-        sums += grad**2
-        sums_cut += grad_cut**2
-        weights -= config.rate * grad / np.sqrt(sums)
-        cut = np.maximum.accumulate(cut - config.rate * grad_cut / np.sqrt(sums_cut))  # thresholds stay in order
-    return OrdinalModel(dict(zip(words, weights.tolist(), strict=True)), cut.tolist())
+        return OrdinalModel(dict.fromkeys({f for x in features for f in x}, 0.0), [40.0])
+    index = {f: i for i, f in enumerate(sorted({f for x in features for f in x}))}
+    m, n = len(index), len(features)
+    x = np.zeros((n, m))
+    for i, found in enumerate(features):
+        x[i, [index[f] for f in found]] = 1
+    above = (grades[:, None] > np.arange(top)).astype(float)
+    rate = above.mean(0).clip(1e-4, 1 - 1e-4)
+    at = np.concatenate([np.zeros(m), np.log((1 - rate) / rate)])
+    penalty = np.concatenate([np.full(m, config.ridge), np.full(top, 1e-3)])
+
+    def loss(v):
+        z = (x @ v[:m])[:, None] - v[m:]
+        return (np.logaddexp(0, z) - above * z).sum() + (penalty * v * v).sum() / 2
+
+    now = loss(at)
+    for _ in range(config.rounds):
+        p = 1 / (1 + np.exp(-np.clip((x @ at[:m])[:, None] - at[m:], -40, 40)))
+        g, h = p - above, p * (1 - p)
+        grad = np.concatenate([x.T @ g.sum(1), -g.sum(0)]) + penalty * at
+        hess = np.diag(penalty)
+        hess[:m, :m] += x.T @ (x * h.sum(1)[:, None])
+        cross = -(x.T @ h)
+        hess[:m, m:] += cross
+        hess[m:, :m] += cross.T
+        hess[m:, m:] += np.diag(h.sum(0))
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while (new := loss(at - size * step)) > now and size > 1e-4:
+            size /= 2
+        at, gain, now = at - size * step, now - new, new
+        if gain < 1e-6:
+            break
+    return OrdinalModel({f: float(at[i]) for f, i in index.items()}, np.maximum.accumulate(at[m:]).tolist())
+
+
+def telling(counts: pd.DataFrame, yes: int, no: int, config: OrdinalConfig = OrdinalConfig()) -> list[str]:
+    """Features (rows feature, yes, no) whose share among the yes rows exceeds that among the others by least_z standard errors or more."""
+    both = (counts.yes + counts.no + 1) / (yes + no + 2)
+    z = (counts.yes / max(yes, 1) - counts.no / max(no, 1)) / np.sqrt(both * (1 - both) * (1 / max(yes, 1) + 1 / max(no, 1)))
+    chosen = counts.assign(z=-z)[(z >= config.least_z) & (counts.yes >= config.least_documents)]
+    return chosen.sort_values(["z", "feature"]).feature.head(config.features).tolist()
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), label_col: str = "toxic") -> OrdinalModel:
-    """Fitted on a sample of labelled rows, of which only the words leave the executors."""
+    """Fitted on a bounded sample of labelled rows: features are counted and chosen first, and only chosen ones leave the executors."""
+    rows = shared_table(labelled_sample(docs, labels, label_col, config.sample).dropDuplicates([TEXT, "label"]))
+    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    yes, no = sum(n for y, n in sizes.items() if y > 0), sum(n for y, n in sizes.items() if y <= 0)
+
+    def count(batches):
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+        for frame in batches:
+            for text, label in zip(frame[TEXT], frame["label"], strict=True):
+                seen[label > 0].update(all_features(text))
+        for side, found in enumerate(seen):
+            yield pd.DataFrame({"feature": list(found.keys()), "side": side, "n": list(found.values())})
+
+    counted = rows.select(TEXT, "label").mapInPandas(count, "feature string, side int, n long").groupBy("feature").agg(F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("no"))
+    # Twice as often among the yes rows as among all: a bounded table, as each of these features takes its share of few rows.
+    counted = counted.where((F.col("yes") >= config.least_documents) & (F.col("yes") * (no + 1) > 2 * F.col("no") * yes))
+    chosen = telling(counted.orderBy(F.desc(F.col("yes") - F.col("no") * yes / (no + 1)), "feature").limit(20 * config.features).toPandas(), yes, no, config) if yes and no else []
 
     def extract(batches):
+        find = Extractor(chosen)
         for frame in batches:
-            yield pd.DataFrame({"id": frame[ID], "words": [b" ".join(sorted(words_in(t))) for t in frame[TEXT]], "label": frame["label"]})
+            yield pd.DataFrame({"found": [find(t) for t in frame[TEXT]], "label": frame["label"]})
 
-    rows = labelled_sample(docs, labels, label_col, config.sample, None).mapInPandas(extract, "id long, words binary, label int").limit(config.sample)
-    found = sorted(((r[0], bytes(r[1]), r[2]) for r in rows.toPandas().itertuples(index=False)), key=lambda r: r[:3])
-    same: dict[bytes, bytes] = {}
-    found = list({(w, y): None for _, w, y in found})  # copies of a text count once, or its other words would tell too
-    texts, toxic = [{same.setdefault(x, x) for x in w.split()} for w, _ in found], np.array([y for _, y in found], dtype=np.int64)
-    return fit(texts, weak_grades(texts, toxic, config), config)
+    found = sorted((tuple(r[0]), r[1]) for r in rows.select(TEXT, "label").mapInPandas(extract, "found array<string>, label int").limit(config.sample).toPandas().itertuples(index=False))
+    held, toxic = np.array([len(f) for f, _ in found]), np.array([y for _, y in found], dtype=np.int64) > 0
+    grades = np.where(toxic, 1 + (held > (np.median(held[toxic]) if toxic.any() else 0)), 0).astype(np.int64)
+    return fit([list(f) for f, _ in found], grades, config)
 
 
-def severity_udf(shared):
+def severity_udf(model: OrdinalModel):
     def run(batches):
-        model = shared.value
+        find = Extractor(model.weights)
         for texts in batches:
-            p = np.array([model.above(t or "") for t in texts]).reshape(len(texts), -1)
+            p = np.array([model.above(find(t or "")) for t in texts]).reshape(len(texts), -1)
             yield pd.DataFrame({"severity": p.sum(1), "toxic": p[:, 0] if p.size else 0.0})
 
     return series_udf(run, "severity double, toxic double")
@@ -131,12 +187,10 @@ def severity_udf(shared):
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, expected_severity (sum over k of P(grade > k)), p_toxic, toxic (p_toxic from the config's bound on) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, config))
-    rows = keyed(docs, id_col, text_col).select(F.col(ID).alias("doc_id"), severity_udf(shared)(TEXT).alias("s"))
+    rows = keyed(docs, id_col, text_col).select(F.col(ID).alias("doc_id"), severity_udf(fit_on(docs, labels, config))(TEXT).alias("s"))
     return rows.select("doc_id", F.col("s.severity").alias("expected_severity"), F.col("s.toxic").alias("p_toxic"), (F.col("s.toxic") >= config.reject).alias("toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects; columns are kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, config))
-    return docs.where(severity_udf(shared)(F.col(text_col))["toxic"] < config.reject)
+    return docs.where(severity_udf(fit_on(docs, labels, config))(F.col(text_col))["toxic"] < config.reject)
