@@ -30,7 +30,7 @@ from .common import ID, ROW, TEXT, keyed, remainder, shared_table
 BUCKETS = 1023  # classes by word ending; the one after them stands for the end in the table of pairs
 SUFFIX = 3
 SEGMENT = 2048
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 200_000
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def bucket_of(word: bytes) -> int:
 
 class _Buckets(dict):
     def __missing__(self, word):
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         out = self[word] = crc32(word[-SUFFIX:]) % BUCKETS
         return out
@@ -85,7 +85,7 @@ def _count(batches):
             if len(line) > TOKENS_AT_ONCE:
                 _pairs(line, pairs, side)
                 line = []
-            if len(counts) > 300_000:
+            if len(counts) > 200_000:
                 yield flush()
         _pairs(line, pairs, side)
     yield flush()
