@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import ID, ROW, TEXT, keyed, shared_table
 
 RULE_VERSION = 1
+SALTS = 16  # copies of a blob's findings, so that the paths of one blob meet them in as many tasks
 MARK = "[SECRET]"
 
 
@@ -73,10 +74,15 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def unseen(rows: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
     """(blob, __text), once for each blob of rows whose pair with the rule version isn't in the ledger (blob, rule_version)."""
-    first = rows.groupBy("blob").agg(F.min(ROW).alias(ROW))
+    first = rows.groupBy("blob").agg(F.min(ROW).alias(ROW), F.count("*").alias("paths"))
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    return rows.select(ROW, "blob", TEXT).join(first.select(ROW), ROW, "left_semi").select("blob", TEXT)
+    # The text depends on the other side of the join; else the optimizer would run the patterns on all rows, before it.
+    return rows.select(ROW, "blob", TEXT).join(first.select(ROW, "paths"), ROW).select("blob", F.when(F.col("paths") > 0, F.col(TEXT)).alias(TEXT))
+
+
+def _salted(by_blob: DataFrame) -> DataFrame:
+    return by_blob.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -107,7 +113,7 @@ def findings_by_path(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: s
     found = scan(unseen(rows, ledger, rule_version), rules)
     if findings is not None:
         found = found.unionByName(findings.where(F.col("rule_version") == rule_version).select("blob", "kind", "start", "end"))
-    joined = rows.select(ID, "blob").join(_per_blob(found, rules), "blob", "left")
+    joined = rows.select(ID, "blob", F.pmod(ROW, F.lit(SALTS)).cast("int").alias("salt")).join(_salted(_per_blob(found, rules)), ["blob", "salt"], "left")
     none = F.lit("")
     return joined.select(F.col(ID).alias("doc_id"), *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules), F.sha2(F.coalesce("base", none).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
 
@@ -122,7 +128,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
     island = F.sum((F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).over(order)
     merged = found.withColumn("island", island).groupBy("blob", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = merged.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = rows.select("doc", "blob").join(cuts, "blob", "left")
+    joined = rows.select("doc", "blob", F.pmod(ROW, F.lit(SALTS)).cast("int").alias("salt")).join(_salted(cuts), ["blob", "salt"], "left")
     text = F.col("doc")[text_col]
 
     def piece(cut, at):
