@@ -194,4 +194,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one row of each component: the one of the smallest doc_id (of rows that repeat it, the first). Columns are kept."""
     groups = near_duplicates(docs, id_col, text_col)
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col(ID).isNull().alias("nil"), F.col(ID), F.col(ROW))).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(best, ROW, "left_semi").drop(ROW)
+    return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias(ROW)).join(best, ROW, "left_semi").select("doc.*")
