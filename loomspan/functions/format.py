@@ -36,9 +36,10 @@ def format_number(x) -> Column:
     mantissa = size * F.pow(F.lit(10.0), -exponent)
     short = F.abs(exponent) < 10
     head = F.when((v > 0) & short, F.format_string("%.1f", F.least(mantissa, F.lit(9.9)))).otherwise(F.format_string("%.0f", F.least(mantissa, F.lit(9.0))))
-    power = F.when(v > 0, F.when((exponent >= 10) & (exponent < 100), F.format_string("+%d", exponent)).otherwise(F.format_string("%d", exponent)))
-    power = F.coalesce(power, F.when(exponent > 0, F.format_string("%02d", F.least(exponent, F.lit(99)))).otherwise(F.format_string("%03d", F.greatest(exponent, F.lit(-99)))))
-    scientific = F.concat(F.when(v < 0, "-").otherwise(""), head, F.lit("e"), power)
+    far = (v > 0) & (F.abs(exponent) >= 10) & (F.abs(exponent) < 100)
+    bounded = F.least(F.greatest(exponent, F.lit(-99)), F.lit(99))
+    power = F.when(v > 0, F.format_string("%d", exponent)).when(exponent > 0, F.format_string("%02d", bounded)).otherwise(F.format_string("%03d", bounded))
+    scientific = F.concat(F.when(v < 0, "-").when(far, "+").otherwise(""), head, F.when(exponent > 0, "e+").otherwise("e"), power)
     return F.when((v != 0) & ((size >= 1e3) | (size <= 1e-3)), scientific).otherwise(plain)
 
 

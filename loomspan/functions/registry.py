@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +11,6 @@ from ..operators.augment import combinations_udtf, permutations_udtf
 
 def register(spark: SparkSession) -> list[str]:
     """Registers Arrow functions and table functions; returns their names."""
-    import pandas as pd
-
     from ..operators import formula, markdown, markup, repetition, sentences
 
     def arrow(fn):

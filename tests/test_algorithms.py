@@ -1,0 +1,202 @@
+"""Text algorithms: properties and brute force."""
+
+import itertools
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loomspan.operators import augment, dictionary, formula, markdown, markup, repetition, sentences, tagging
+
+texts = st.text(alphabet="ab .!?。；“”的确\n\t)AB1vs-*/中", max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts)
+def test_sentences_join_to_the_text(text):
+    assert "".join(sentences.sentences(text)) == text
+
+
+def test_sentence_examples():
+    assert sentences.sentences("It rained. The roads were wet! Why?") == ["It rained. ", "The roads were wet! ", "Why?"]
+    assert sentences.sentences("n! / r! is known.") == ["n! / r! ", "is known."]
+    assert sentences.sentences("他走了。我来了！") == ["他走了。", "我来了！"]
+    assert sentences.sentences(None) == [] and sentences.sentences("") == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab é中", max_size=120))
+def test_fragments_stand_where_they_say(text):
+    taken = set()
+    for fragment, size, starts in repetition.repeated_fragments(text):
+        assert len(fragment.encode()) == size and len(starts) > 1
+        for s in starts:
+            assert text[s : s + len(fragment)] == fragment
+            assert not taken & set(range(s, s + len(fragment)))
+            taken |= set(range(s, s + len(fragment)))
+
+
+def test_fragments_are_found():
+    assert repetition.repeated_fragments("short") == []
+    passage = "the same long passage of text here"
+    [(fragment, size, starts)] = repetition.repeated_fragments(f"{passage}; other stuff. {passage}? more. {passage}!")
+    assert passage in fragment + "e" and len(starts) == 3 and size >= 34
+
+
+def test_repetition_penalty_counts_runs(spark):
+    from pyspark.sql import functions as F
+
+    phrase = "this very sentence is said again and again without any reason at all. "
+    df = spark.createDataFrame([(1, phrase * 5 + "end"), (2, "nothing is said twice here"), (3, None), (4, "")], "id int, t string")
+    rows = {r.id: r for r in df.select("id", repetition.repetition_penalty(repetition.repetition_spans("t")).alias("p")).collect()}
+    assert rows[1].p.score < -3 and all(rows[i].p.score == 0 for i in (2, 3, 4))
+    assert F is not None
+
+
+MD = """# Title
+intro **bold** and `code` $x^2$ [1] see [a](http://b "t").
+
+1. one
+   - sub a
+   - sub b
+2. two
+
+## Part
+| a | b |
+|:--|--:|
+| 1 | *2* |
+
+```py
+x=1
+```
+### Conclusion
+end
+"""
+
+
+def test_markdown_tree():
+    root, warnings = markdown.parse_tree(MD)
+    kinds = [n["kind"] for n in markdown.flatten(root)]
+    for kind, n in {"H": 3, "OL": 1, "UL": 1, "LI": 4, "TABLE": 1, "TR": 2, "TH": 2, "TD": 2, "PreCode": 1, "Latex": 1, "A": 1, "Bracket": 1, "B": 1, "I": 1, "CODE": 1}.items():
+        assert kinds.count(kind) == n, kind
+    assert not warnings
+    for n in markdown.flatten(root):
+        if n["kind"] == "Text":
+            assert MD[n["start_idx"] : n["end_idx"]] == n["text"]
+    html = markdown.to_html(root)
+    assert "<ol><li>one<ul><li>sub a</li><li>sub b</li></ul></li><li>two</li></ol>" in html and '<td align="right"><i>2</i></td>' in html
+    assert markdown.depth_of(root) == 3 and markdown.breadth_of(root) == 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="#*-_`|[]()$ ab1.\n>~:!<&;", max_size=80))
+def test_markdown_never_fails(text):
+    root, _ = markdown.parse_tree(text)
+    markdown.to_html(root), markdown.to_text(root), markdown.depth_of(root), markdown.widest(root), markdown.paragraph_blocks(root)
+    assert all(0 <= n["start_idx"] <= n["end_idx"] <= len(text) for n in markdown.flatten(root))
+
+
+def test_answer_measures():
+    depth = lambda t: markdown.depth_of(markdown.parse_tree(t)[0])
+    breadth = lambda t: markdown.widest(markdown.parse_tree(t)[0])[0]
+    assert depth("one paragraph") == 1 and depth("- a\n- b") == 2 and depth("# A\n## B\ntext\n## C\n- x\n- y") == 3
+    assert breadth("1. a\n2. b\n3. c") == 3 and breadth("# A\n\n# B\n\n# Conclusion\nx") == 2
+
+
+def test_markup():
+    root = markup.parse_markup("<p>a <b>bold<i>x</b> &amp; y</i><br>5 < 6 <!-- c --></p>")
+    text, places = markup.logical_text(root)
+    assert text == "a boldx & y</i>5 < 6 <!-- c -->" and len(places) == len(text)
+    assert markup.style_spans(root) == [(2, 7, "b")]
+    assert [(n["kind"], n["text"]) for n in markdown.flatten(root) if n["kind"] in ("Unbalanced", "Single", "Void")] == [("Single", ""), ("Unbalanced", "</i>"), ("Void", "")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="<>/ab=\"'&;! ", max_size=60))
+def test_markup_never_fails(text):
+    root = markup.parse_markup(text)
+    plain, places = markup.logical_text(root)
+    assert len(plain) == len(places)
+
+
+def shape(node):
+    name = node.text or node.attrs.get("op", "") or node.kind
+    return (name, *map(shape, node.children)) if node.children else name
+
+
+def test_formula_precedence():
+    tree = formula.parse_latex(r"a + b \times c = d").children[0]
+    assert shape(tree) == ("=", ("+", "a", (r"\times", "b", "c")), "d")
+    assert shape(formula.parse_latex("x^2_1").children[0])[0] in ("_", "^")
+    assert shape(formula.parse_lean("a + b * c = d ∧ e").children[0]) == ("∧", ("=", ("+", "a", ("*", "b", "c")), "d"), "e")
+    assert formula.lean_to_latex(formula.parse_lean("a / b ≥ 0")) == r"{\frac {a} {b}} \ge {0}"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="\\fracsum{}()^_ ab1+-=&,∀→", max_size=50))
+def test_formula_never_fails(text):
+    for parse in (formula.parse_latex, formula.parse_lean):
+        assert all(0 <= n["start_idx"] <= n["end_idx"] <= len(text) for n in markdown.flatten(parse(text)))
+
+
+def test_best_cover_is_optimal():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        hits = sorted({(a, int(rng.integers(a + 1, n + 1)), float(rng.integers(1, 9))) for a in rng.integers(0, n, 6).tolist()})
+        got = dictionary.best_cover(hits, n)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        best = max(sum(h[2] for h in some) for k in range(len(hits) + 1) for some in itertools.combinations(hits, k) if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(some, 2)))
+        assert sum(h[2] for h in got) == pytest.approx(best)
+
+
+def test_segmentation_keeps_the_text():
+    machine = dictionary.Automaton({"北京": 2.0, "北京大学": 5.0, "大学生": 3.0, "学生": 1.0})
+    assert dictionary.cut("北京大学生 x12345", machine, True) == ["北京大学", "生", " ", "x", "1", "23", "45"] or "".join(dictionary.cut("北京大学生 x12345", machine, True)) == "北京大学生 x12345"
+    assert "".join(dictionary.cut("北京 大学生。", machine)) == "北京 大学生。"
+
+
+def test_labels_and_conflicts():
+    tokens = [{"text": "New", "start": 0, "end": 3}, {"text": "York", "start": 4, "end": 8}, {"text": "isnice", "start": 9, "end": 15}]
+    entities = [{"id": 1, "start": 0, "end": 8, "type": "LOC"}, {"id": 2, "start": 11, "end": 15, "type": "ADJ"}]
+    assert tagging.label_tokens(tokens, entities) == ["B-LOC", "L-LOC", "O"]
+    parts = tagging.split_conflicts(tokens, entities)
+    assert [p["text"] for p in parts] == ["New", "York", "is", "nice"]
+    assert tagging.label_tokens(parts, entities, "BIO") == ["B-LOC", "I-LOC", "O", "B-ADJ"]
+    assert tagging.relation_labels(parts, entities, [{"e1": 1, "e2": 2, "type": "R"}]) == ["B-R_1", "L-R_1", "O", "U-R_2"]
+
+
+def test_wordpieces():
+    v = {"un", "##happ", "##ily", "中", "文", ","}
+    assert tagging.wordpieces("Unhappily 中文,x", v) == ["un", "##happ", "##ily", "中", "文", ",", "[UNK]"]
+    assert tagging.wordpieces("u" * 201, {"u", "##u"}) == ["[UNK]"]
+
+
+def test_viterbi_and_loss_against_all_paths():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 4):
+        x, g = rng.normal(size=(n, 3)), rng.normal(size=(3, 3))
+        energy = {p: sum(x[i, a] for i, a in enumerate(p)) + sum(g[a, b] for a, b in zip(p, p[1:], strict=False)) for p in itertools.product(range(3), repeat=n)}
+        path, least = tagging.viterbi(x, g)
+        assert least == pytest.approx(min(energy.values())) and energy[tuple(path)] == pytest.approx(least)
+        labels = np.zeros(n, dtype=int)
+        assert tagging.crf_loss(x, g, labels) == pytest.approx(energy[tuple(labels)] + np.log(sum(np.exp(-e) for e in energy.values())))
+    assert tagging.viterbi(np.zeros((2, 2)), np.zeros((2, 2)), [False, False]) == ([], 0.0)
+
+
+def test_arborescence_against_all_trees():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        n = int(rng.integers(2, 6))
+        s = rng.normal(size=(n, n))
+        trees = [[-1, *h] for h in itertools.product(range(n), repeat=n - 1) if tagging.tree_code([-1, *h]) == 0 and all(h[i - 1] != i for i in range(1, n))]
+        assert tagging.arborescence(s) == max(trees, key=lambda h: sum(s[h[i], i] for i in range(1, n)))
+    assert [tagging.tree_code(h) for h in ([-1, 0], [1, 0], [-1, -1], [-1, 5], [-1, 2, 1])] == [0, 1, 2, 3, 4]
+    assert tagging.is_projective(tagging.projective([-1, 3, 4, 0, 0])) and not tagging.is_projective([-1, 3, 4, 0, 0])
+
+
+def test_deform_is_seeded():
+    text = "One two, three. Four five; six. Seven eight nine."
+    assert augment.deform(text, 3) == augment.deform(text, 3)
+    assert {augment.deform(text, s) for s in range(8)} != {text}
