@@ -200,3 +200,55 @@ def test_deform_is_seeded():
     text = "One two, three. Four five; six. Seven eight nine."
     assert augment.deform(text, 3) == augment.deform(text, 3)
     assert {augment.deform(text, s) for s in range(8)} != {text}
+
+
+def test_layers_against_plain_sums():
+    from loomspan.operators import layers
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(5, 3))
+    k = rng.normal(size=(3, 3, 2))
+    conv = layers.conv1d(x, {"kernel": k})
+    for t in range(5):
+        want = sum(x[t + d - 1] @ k[d] for d in range(3) if 0 <= t + d - 1 < 5)
+        assert np.allclose(conv[t], want)
+    w = {"kernel": rng.normal(size=(3, 8)), "recurrent": rng.normal(size=(2, 8)), "bias": rng.normal(size=8)}
+    assert layers.bidirectional(x, w, w).shape == (5, 4) and np.allclose(layers.bidirectional(x, w, w)[:, :2], layers.lstm(x, w))
+    g = {"kernel": rng.normal(size=(3, 6)), "recurrent": np.zeros((2, 6))}
+    z, c = layers.ACTIVATIONS["sigmoid"]((x @ g["kernel"])[0, :2]), np.tanh((x @ g["kernel"])[0, 4:])
+    assert np.allclose(layers.gru(x, g)[0], (1 - z) * c)
+    one = {n: np.eye(4) for n in ("query", "key", "value", "output")}
+    norm = {"gamma": np.ones(4), "beta": np.zeros(4)}
+    block = {"attention": one, "norm1": norm, "in": {"kernel": np.eye(4)}, "out": {"kernel": np.eye(4)}, "norm2": norm}
+    out = layers.encoder([1, 2, 1], {"tokens": rng.normal(size=(3, 4)), "places": rng.normal(size=(8, 4)), "norm": norm, "blocks": [block, block]}, heads=2)
+    assert out.shape == (3, 4) and np.allclose(out.mean(1), 0) and np.allclose(out.std(1), 1)
+    assert np.isclose(layers.classify(out, {"kernel": rng.normal(size=(4, 3))}).sum(), 1)
+
+
+def test_comparisons():
+    from loomspan.operators import compare
+
+    assert compare.differences({"a": [1, 2], "b": 1}, {"a": [1, 3, 4], "c": "x"}) == [("$.a", "length", "2", "3"), ("$.a[1]", "value", "2", "3"), ("$.b", "key", "1", "null"), ("$.c", "key", "null", '"x"')]
+    nodes = markdown.parse("# a\n- b\n- c")[0]
+    assert compare.traversal(nodes, "pre") == [n["id"] for n in nodes]
+    assert compare.traversal(nodes, "post")[-1] == 0 and sorted(compare.traversal(nodes, "post")) == sorted(compare.traversal(nodes, "breadth"))
+    assert [nodes[i]["depth"] for i in compare.traversal(nodes, "breadth")] == sorted(n["depth"] for n in nodes)
+    assert compare.node_path(nodes, nodes[-1]["id"])[0] == 0
+    assert compare.set_path(None, ["a", 2, "b"], 5) == {"a": [None, None, {"b": 5}]}
+
+
+def test_overlap_elimination(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomspan.operators import compare
+
+    hits = [(0, 3), (2, 8), (7, 9), (9, 10), (8, 10)]
+    df = spark.createDataFrame([([*hits],)], "h array<struct<begin:int,end:int>>")
+    assert [tuple(h) for h in df.select(compare.without_overlaps(F.col("h")).alias("h")).first().h] == [(2, 8), (8, 10)]
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,)], "x int")
+    assert sorted(tuple(r) for r in compare.frame_differences(a, b).collect()) == [(1, "left"), (2, "left"), (3, "right")]
+    (tmp_path / "vocab.txt").write_text("[PAD]\nthe\n##ing\n")
+    assert [tuple(r) for r in compare.numbered_vocabulary(spark, str(tmp_path / "vocab.txt")).orderBy("id").collect()] == [("[PAD]", 0), ("the", 1), ("##ing", 2)]
+    j = spark.createDataFrame([('{"a": 1}', '{"a": 2}')], "l string, r string")
+    assert j.select(compare.json_differences("l", "r").alias("d")).first().d[0].path == "$.a"
+    assert j.select(compare.set_json_path(F.col("l"), ["b", 0], "x").alias("v")).first().v == '{"a": 1, "b": ["x"]}'
