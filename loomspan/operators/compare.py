@@ -90,7 +90,7 @@ def post_order(nodes: pd.Series) -> pd.Series:
 
 def numbered_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """word, id: a vocabulary file's lines and their numbers; read by one task, as line numbers need."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("id", "word"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("id", "word"))
     return rows.select("word", "id")
 
 
