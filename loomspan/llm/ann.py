@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_table
+from .common import Shared, shared_table
 
 
 @dataclass(frozen=True)
@@ -154,7 +154,7 @@ def nearest(vectors: DataFrame, every: int = 20, config: AnnConfig = AnnConfig()
     sample = entries.where(F.pmod("key", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("key", "rid").limit(config.sample).select("v").toPandas()
     points = _lifted(_matrix(sample.v), longest) if len(sample) else _lifted(_matrix(entries.limit(1).toPandas().v), longest)
     k = max(1, min(config.most_lists, n // config.list_size, len(points)))
-    model = spark.sparkContext.broadcast((Centroids(k_means(points, k, config), config), longest))
+    model = Shared(spark, (Centroids(k_means(points, k, config), config), longest))
 
     def assign(batches):
         centroids, longest = model.value

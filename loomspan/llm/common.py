@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,14 @@ def series_udf(run, schema: str, columns: int = 1):
     given = pd.Series if columns == 1 else tuple[(pd.Series,) * columns]
     run.__annotations__ = {"batches": Iterator[given], "return": Iterator[pd.Series if " " not in schema else pd.DataFrame]}
     return F.pandas_udf(run, schema)
+
+
+class Shared:
+    """A broadcast value that may hold objects of this library, which executors needn't have installed."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self.data.value)

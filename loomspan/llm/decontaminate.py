@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, keyed, series_udf
+from .common import ID, ROW, TEXT, Shared, keyed, series_udf
 
 WIDTH = 10
 BLOCK = 200_000  # windows in a broadcast block
@@ -147,7 +147,7 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, width: int, block: i
 def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(__row, __id, n_words, starts, ends, items): the union of all hit words as intervals, and the items that hit."""
     rows = keyed(docs, id_col, text_col)
-    parts = [rows.select(ROW, ID, TEXT).mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(b)), RESULT) for b in _blocks(bench, item_col, item_text_col, width, block)]
+    parts = [rows.select(ROW, ID, TEXT).mapInArrow(_find(Shared(docs.sparkSession, b)), RESULT) for b in _blocks(bench, item_col, item_text_col, width, block)]
     if len(parts) == 1:
         return parts[0]
     out = parts[0]
@@ -179,7 +179,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH, blo
     """docs without the rows that hold a test window; columns are kept."""
     out = docs
     for b in _blocks(bench, "item_id", "text", width, block):
-        out = out.where(series_udf(_clean(docs.sparkSession.sparkContext.broadcast(b)), "boolean")(F.col(text_col)))
+        out = out.where(series_udf(_clean(Shared(docs.sparkSession, b)), "boolean")(F.col(text_col)))
     return out
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, keyed, remainder, shared_table
+from .common import ID, ROW, TEXT, Shared, keyed, remainder, shared_table
 
 BUCKETS = 1023  # classes by word ending; the one after them stands for the end in the table of pairs
 SUFFIX = 3
@@ -347,7 +347,7 @@ def fit(train: DataFrame, config: HmmConfig = HmmConfig()) -> tuple[dict, DataFr
     }
     schema = ", ".join(["class long", *(f"s{k} double" for k in range(K))])
     for _ in range(config.rounds if texts else 0):
-        shared = spark.sparkContext.broadcast(model)
+        shared = Shared(spark, model)
         sums_by_class = train.select(TEXT).mapInArrow(_expect(shared), schema).groupBy("class").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(K))).toPandas()
         found = {int(r[0]): np.array(r[1:], dtype=float) for r in sums_by_class.itertuples(index=False)}
         gone = np.zeros((K, classes))
@@ -363,7 +363,7 @@ def fit(train: DataFrame, config: HmmConfig = HmmConfig()) -> tuple[dict, DataFr
 
 def score(docs: DataFrame, model: dict, rare: DataFrame) -> DataFrame:
     """log10 probabilities of all rows of keyed() with a column held_out, by the words' base model and by the model."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     parts = docs.select(ROW, ID, "held_out", TEXT).mapInArrow(_score(shared), SCORED)
     known = F.coalesce(F.col("n"), F.lit(0))
     more = F.col("tf") * F.log10(known + 0.5)

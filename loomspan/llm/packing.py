@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, keyed, series_udf, shared_table, tokenizer_path, worker_cache
+from .common import ID, ROW, TEXT, Shared, keyed, series_udf, shared_table, tokenizer_path, worker_cache
 
 END = 2
 RANKS = "byte_bpe_50k.tiktoken"
@@ -166,7 +166,7 @@ def pack(docs: DataFrame, bins: Bins = Bins(), id_col: str = "doc_id", text_col:
     counts = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").agg(F.count("*")).collect()}  # at most `most` rows
     slots, _ = pack_histogram(counts, bins)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
-    shared = docs.sparkSession.sparkContext.broadcast(slots)
+    shared = Shared(docs.sparkSession, slots)
 
     def place(batches):
         table = shared.value

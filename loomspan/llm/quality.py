@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, TEXT, keyed, remainder, series_udf, worker_cache
+from .common import ID, TEXT, Shared, keyed, remainder, series_udf, worker_cache
 
 
 @dataclass(frozen=True)
@@ -166,11 +166,12 @@ def fit_on(docs: DataFrame, labels: DataFrame, config: FmConfig = FmConfig(), la
 
 def quality_scores(docs: DataFrame, labels: DataFrame, config: FmConfig = FmConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; rows whose crc32(doc_id) mod 3 is 1 are never learned from."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_on(docs, labels, config, condition=remainder(ID, 3) != 1))
+    model = Shared(docs.sparkSession, fit_on(docs, labels, config, condition=remainder(ID, 3) != 1))
 
     def run(batches):
+        machine = model.value
         for texts in batches:
-            yield pd.Series(model.value.scores([t.encode() for t in texts]))
+            yield pd.Series(machine.scores([t.encode() for t in texts]))
 
     score = series_udf(run, "double")
     rows = keyed(docs, id_col, text_col)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, keyed, shared_table, tokenizer_path, worker_cache
+from .common import ID, ROW, TEXT, Shared, keyed, shared_table, tokenizer_path, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 HEAD = 131_072
@@ -133,6 +133,6 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 4096, head: i
         least, room = at, room - n
     frequent = {} if least is None else {r[0]: int(r[1]) for r in known.where(step >= least).select("chunk", "pieces").toPandas().itertuples(index=False)}
     rare = (known if least is None else known.where(step < least)).select("chunk", "pieces")
-    parts = rows.select(ROW, ID, TEXT).mapInArrow(_per_text(docs.sparkSession.sparkContext.broadcast(frequent)), f"{ROW} long, {ID} long, chunk string, tf long, base long, bytes long")
+    parts = rows.select(ROW, ID, TEXT).mapInArrow(_per_text(Shared(docs.sparkSession, frequent)), f"{ROW} long, {ID} long, chunk string, tf long, base long, bytes long")
     sums = parts.join(rare, "chunk", "left").groupBy(ROW).agg(F.max(ID).alias("doc_id"), F.sum("bytes").alias("n_bytes"), F.sum(F.col("base") + F.col("tf") * F.coalesce("pieces", F.lit(0))).alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
