@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..udf import arrow_udf, worker_cache
+
 HAN = r"\p{IsHan}"
 CITATION = r"\[[0-9]+\]"
 
@@ -34,24 +41,38 @@ def detect_language(text) -> Column:
     )
 
 
-def detect_language_weighted(text) -> Column:
-    """cn or en: characters vote with the square of their distance from the middle, Han letters eightfold, wide digits and punctuation twofold."""
-    t = _c(text)
-    chars = F.filter(F.split(t, ""), lambda c: c != "")
-    middle = F.length(t) / F.lit(2.0)
-
-    def vote(acc, x):
-        place = (x["i"] - middle + F.lit(0.01)) / middle
-        weight, c = place * place, x["c"]
-        letter, other = c.rlike(r"\p{L}"), c.rlike(r"\p{N}|\p{P}")
-        wide = F.ascii(c) > 256
-        cn = F.when(letter & c.rlike(HAN), weight * 8).when(other & wide, weight * 2).otherwise(0.0)
-        en = F.when(letter & ~c.rlike(HAN) | other & ~wide, weight).otherwise(0.0)
-        return F.struct((acc["cn"] + cn).alias("cn"), (acc["en"] + en).alias("en"))
-
-    numbered = F.transform(chars, lambda c, i: F.struct(c.alias("c"), i.cast("double").alias("i")))
-    votes = F.aggregate(numbered, F.struct(F.lit(0.0).alias("cn"), F.lit(0.0).alias("en")), vote)
-    return F.when(t.rlike(f"^{HAN}{{2,}}"), "cn").when(votes["cn"] > votes["en"], "cn").otherwise("en")
+def _votes() -> np.ndarray:
+    """For each code point its votes for cn and for en: Han letters 8 and 0, wide digits and punctuation 2 and 0, other letters, digits and punctuation 0 and 1."""
+    cache = worker_cache()
+    if "votes" not in cache:
+        table = np.zeros((sys.maxunicode + 1, 2))
+        han = regex.compile(r"\p{Han}")
+        for n in range(sys.maxunicode + 1):
+            kind = unicodedata.category(chr(n))[0]
+            if kind == "L":
+                table[n] = (8, 0) if n > 0x2E00 and han.match(chr(n)) else (0, 1)
+            elif kind in "NP":
+                table[n] = (2, 0) if n > 256 else (0, 1)
+        cache["votes"] = table
+    return cache["votes"]
+
+
+@arrow_udf("string")
+def detect_language_weighted(texts: pd.Series) -> pd.Series:
+    """cn or en: characters vote with the square of their distance from the middle; two Han characters at the start decide."""
+    table, start = _votes(), regex.compile(r"\p{Han}{2,}")
+
+    def one(text):
+        if text is None:
+            return None
+        if start.match(text):
+            return "cn"
+        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        middle = len(points) / 2
+        votes = (((np.arange(len(points)) - middle + 0.01) / middle) ** 2) @ table[points] if middle else (0, 0)
+        return "cn" if votes[0] > votes[1] else "en"
+
+    return texts.map(one)
 
 
 def citation_penalty(answer, n_context=None, most: int = 5) -> Column:

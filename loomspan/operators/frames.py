@@ -102,6 +102,12 @@ def sliding_minimum(df: DataFrame, keys: list[str], order: str, value: Column, s
     return rows.groupBy(*keys).agg(F.min(F.struct(F.col("_a"), F.col(order).alias("first"))).alias("m")).select(*keys, F.col("m.first").alias("first"), F.col("m._a").alias("average"))
 
 
+def follows(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """A column follows: whether the value is one more than the row's before."""
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("follows", F.coalesce(F.col(value) == before + 1, F.lit(False)))
+
+
 def overflow(df: DataFrame, column: str, most: int, truncate: bool) -> DataFrame:
     """Texts over `most` characters cut, or their rows left out."""
     if truncate:

@@ -68,7 +68,7 @@ def lang_detect_turns(spark, sf):
         'l': regexp_matches(text[i], '\p{L}'), 'h': regexp_matches(text[i], '\p{Han}'), 'o': regexp_matches(text[i], '\p{N}|\p{P}'), 'u': unicode(text[i]) > 256}) AS v
         FROM (SELECT doc_id, turn_text AS text FROM (SELECT conv_id * 1000 + turn AS doc_id, text AS turn_text FROM conversations))))""")
 def lang_score_slow(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = _spread(spark, sf, "conversations")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), text.detect_language_weighted("text").alias("detected"))
 
 
@@ -235,6 +235,19 @@ def rectangles(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(intervals.area(intervals.rectangle_intersect(F.col("a"), F.col("b"))), F.lit(0)).cast("long").alias("common"), rest.alias("rest"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, coalesce(l_linenumber = lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) + 1, false) AS follows FROM lineitem""")
+def ordinal_continuity(spark, sf):
+    return frames.follows(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey", "follows")
+
+
+@query("""SELECT l_suppkey, count(*) AS n_runs, max(n) AS longest FROM (SELECT l_suppkey, run, count(*) AS n FROM (SELECT l_suppkey, l_orderkey, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS run FROM (
+    SELECT l_suppkey, l_orderkey, CASE WHEN l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) <= 20 THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem))) GROUP BY ALL) GROUP BY l_suppkey""")
+def gap_runs(spark, sf):
+    keys = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_orderkey")).alias("k"))
+    runs = keys.select("l_suppkey", arrays.lexical_runs("k", 20).alias("r"))
+    return runs.select("l_suppkey", F.size("r").alias("n_runs"), F.array_max(F.transform("r", F.size)).alias("longest"))
+
+
 # Selection, order, sampling.
 
 
@@ -288,7 +301,8 @@ def schema_profile(spark, sf):
     return frames.profile(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query()
+@query("""SELECT 'c_custkey' AS "column", CASE WHEN min(c_custkey) >= 0 AND max(c_custkey) <= 255 THEN 'tinyint' ELSE 'int' END AS kind FROM customer UNION ALL SELECT 'c_name', 'varchar(' || max(length(c_name)) || ')' FROM customer
+UNION ALL SELECT 'c_nationkey', CASE WHEN min(c_nationkey) >= 0 AND max(c_nationkey) <= 255 THEN 'tinyint' ELSE 'int' END FROM customer UNION ALL SELECT 'c_acctbal', 'float' UNION ALL SELECT 'c_mktsegment', 'varchar(' || max(length(c_mktsegment)) || ')' FROM customer""")
 def table_definition(spark, sf):
     return catalog.definition(table(spark, sf, "customer"))
 
@@ -427,7 +441,7 @@ def language_consistency(spark, sf):
     return consistency.language_consistency(_spread(spark, sf), "doc_id", F.col("text"), F.col("text"), F.col("lang")).select("doc_id", "lang", "score", F.size("error").alias("n_errors"))
 
 
-@query()
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[0-9]+|[A-Za-z_À-ɏ]+')) + len(list_filter(c, lambda x, i: regexp_matches(x, '[^\w\sÀ-ɏ]') AND (i = 1 OR c[i - 1] <> x))) AS n_tokens FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents)""")
 def english_tokens(spark, sf):
     return _spread(spark, sf).select("doc_id", F.size(text.en_tokens("text")).alias("n_tokens"))
 

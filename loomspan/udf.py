@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import sys
+import types
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,3 +19,8 @@ def arrow_udf(schema: str):
         return call
 
     return wrap
+
+
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task."""
+    return sys.modules.setdefault("_loomspan_worker", types.ModuleType("_loomspan_worker")).__dict__
