@@ -15,11 +15,21 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Columns that are 32-bit in Spark and 64-bit in the SQL as it is written.
+INTEGERS = {
+    "citation_penalty": ("score", "n_errors"), "text_scalars": ("place", "width"), "balanced_groups": ("n",), "array_scalars": ("lower",), "vector_scalars": ("active",), "gap_runs": ("n_runs", "longest"),
+    "select_page": ("place",), "equal_batches": ("batch",), "sorted_arrays": ("start", "stop"), "schema_profile": ("longest",), "numbered_lines": ("line_no",), "distinct_lines": ("line_no",), "find_line": ("line_no",),
+    "style_window": ("first",), "dictionary_hits": ("begin", "end"), "fuzzy_lookup": ("distance",), "repetition_seeds": ("first", "last"), "english_tokens": ("n_tokens",),
+}
+
+
 def query(sql: str | None = None):
     def add(run):
-        QUERIES[run.__name__] = run
+        name = run.__name__
+        QUERIES[name] = run
         if sql:
-            SQL[run.__name__] = sql
+            narrow = ", ".join(f'CAST("{c}" AS INTEGER) AS "{c}"' for c in INTEGERS.get(name, ()))
+            SQL[name] = f"SELECT * REPLACE ({narrow}) FROM ({sql})" if narrow else sql
         return run
 
     return add
