@@ -31,6 +31,7 @@ BUCKETS = 1023  # classes by word ending; the one after them stands for the end
 SUFFIX = 3
 SEGMENT = 2048
 TOKENS_AT_ONCE = 200_000
+LONG = 50_000  # tokens from which a text is scored alone, one token after the other
 
 
 @dataclass(frozen=True)
@@ -135,10 +136,15 @@ def log10_likelihood(texts: list[np.ndarray], pi, A, B) -> np.ndarray:
     K, out = len(pi), np.zeros(len(texts))
     rows, starts, owner = [], [], []
     for i, x in enumerate(texts):
+        if len(x) > LONG:
+            out[i] = _alone(x, pi, A, B)
+            continue
         for s in range(0, len(x), SEGMENT):
             rows += [x[s : s + SEGMENT]] * (K if s else 1)
             starts.append(A if s else pi[None])
             owner.append((i, s > 0))
+    if not rows:
+        return out
     order, size, active, off, flat, rank_at = _layout(rows)
     alpha, scale = _forward(B.T[flat], active, off, A, np.concatenate(starts)[order])
     logs, ends = np.empty(len(rows)), np.empty((len(rows), K))
@@ -156,14 +162,36 @@ def log10_likelihood(texts: list[np.ndarray], pi, A, B) -> np.ndarray:
     return out
 
 
+def _alone(x: np.ndarray, pi, A, B) -> float:
+    total, ahead = 0.0, pi
+    for s in range(0, len(x), LONG):
+        scales = np.empty(len(x[s : s + LONG]))
+        for t, e in enumerate(B.T[x[s : s + LONG]]):
+            a = ahead * e
+            scales[t] = c = a.sum()
+            ahead = (a / c) @ A
+        total += np.log10(scales).sum()
+    return float(total)
+
+
 def expected(texts: list[np.ndarray], pi, A, B):
     """Expected starts, transitions and emissions of the class sequences, which are cut into segments for this."""
-    K = len(pi)
-    rows, first = [], []
-    for x in texts:
+    sums = [np.zeros_like(pi), np.zeros_like(A), np.zeros_like(B)]
+    rows, first, total = [], [], 0
+    for i, x in enumerate(texts):
         for s in range(0, len(x), SEGMENT):
             rows.append(x[s : s + SEGMENT])
             first.append(s == 0)
+            total += len(rows[-1])
+            if total > TOKENS_AT_ONCE or (i == len(texts) - 1 and s + SEGMENT >= len(x)):
+                for out, more in zip(sums, _expected(rows, first, pi, A, B), strict=True):
+                    out += more
+                rows, first, total = [], [], 0
+    return sums
+
+
+def _expected(rows: list[np.ndarray], first: list[bool], pi, A, B):
+    K = len(pi)
     order, size, active, off, flat, rank_at = _layout(rows)
     opening = np.array(first)[order]
     E = B.T[flat]
@@ -226,7 +254,7 @@ def _grouped(batches, codes, end):
             at.append(i)
             words.append(ws)
             seqs.append(seq)
-            total += len(seq) * (8 if len(seq) > SEGMENT else 1)
+            total += len(seq) * (8 if SEGMENT < len(seq) <= LONG else 1)
             if total > TOKENS_AT_ONCE:
                 yield batch, at, words, seqs
                 at, words, seqs, total = [], [], [], 0

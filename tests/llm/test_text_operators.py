@@ -104,6 +104,11 @@ def test_forward_matches_plain_recursion(monkeypatch):
         return np.log10(a.sum())
 
     assert np.allclose(hmm_lm.log10_likelihood(texts, pi, A, B), [plain(x) for x in texts])
+    whole = hmm_lm.expected(texts, pi, A, B)
+    monkeypatch.setattr(hmm_lm, "LONG", 16)
+    assert np.allclose(hmm_lm.log10_likelihood(texts, pi, A, B), [plain(x) for x in texts])
+    monkeypatch.setattr(hmm_lm, "TOKENS_AT_ONCE", 7)
+    assert all(np.allclose(a, b) for a, b in zip(whole, hmm_lm.expected(texts, pi, A, B), strict=True))
     starts, moves, gone = hmm_lm.expected(texts, pi, A, B)
     assert np.isclose(gone.sum(), sum(map(len, texts))) and np.isclose(starts.sum(), len(texts))
 
