@@ -18,14 +18,15 @@ def interval(start, stop) -> Column:
 
 def normalize(intervals) -> Column:
     """Disjoint and sorted; touching intervals merge, empty ones go."""
-    ordered = F.array_sort(F.filter(_c(intervals), lambda x: x["start"] < x["stop"]))
+    full = F.filter(_c(intervals), lambda x: x["start"] < x["stop"])
+    ordered = F.array_sort(full)
 
     def step(acc, x):
         joins = (F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["stop"])
         grown = F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["stop"], x["stop"]).alias("stop"))
         return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(ordered, F.array().cast(KIND), step)
+    return F.when(F.size(full) < 2, full).otherwise(F.aggregate(ordered, F.array().cast(KIND), step))
 
 
 def union(a, b) -> Column:
@@ -63,8 +64,9 @@ def shift(a, by) -> Column:
     return F.transform(_c(a), lambda x: F.struct((x["start"] + by).alias("start"), (x["stop"] + by).alias("stop")))
 
 
-def cardinality(a) -> Column:
-    return F.aggregate(normalize(a), F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+def cardinality(a, disjoint: bool = False) -> Column:
+    """Whole numbers in the set; disjoint: no two of its intervals meet, as in what the other functions return."""
+    return F.aggregate(_c(a) if disjoint else normalize(a), F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
 
 
 def contains(a, value) -> Column:

@@ -81,17 +81,21 @@ def interval_fragments(df: DataFrame, keys: list[str], start: str, stop: str) ->
 
 
 def fuzzy_matches(left: DataFrame, right: DataFrame, radius: int, word: str = "word") -> DataFrame:
-    """word, match, distance: pairs within an edit distance. If two words differ in at most r edits, some of r + 1 parts of the one stands in the other within r places of its own, so pairs are joined on parts, not all compared."""
-    parts = radius + 1
-    n = F.length(word)
-    own = left.select(word, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda k: F.struct((F.floor(n * k / parts)).alias("a"), (F.floor(n * (k + 1) / parts)).alias("b")))).alias("k", "p"))
-    own = own.select(word, n.alias("n"), F.col("p.a").alias("at"), F.substring(word, (F.col("p.a") + 1).cast("int"), (F.col("p.b") - F.col("p.a")).cast("int")).alias("part"))
-    sizes = own.select(F.length("part").alias("size"), F.col("n")).distinct()
-    other = right.select(F.col(word).alias("match"), F.length(word).alias("m"))
-    # The parts' sizes follow from the words' lengths; there are as many as there are lengths.
-    reach = other.join(F.broadcast(sizes), F.abs(F.col("m") - F.col("n")) <= radius).select("match", "m", "size").distinct()
-    grams = reach.select("match", "m", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("m") - F.col("size"), F.lit(0)))).alias("at2")).where(F.col("at2") + F.col("size") <= F.col("m")).withColumn("part", F.substring("match", F.col("at2") + 1, F.col("size")))
-    met = own.join(grams, "part").where((F.abs(F.col("at") - F.col("at2")) <= radius) & (F.abs(F.col("n") - F.col("m")) <= radius)).select(word, "match").distinct()
+    """word, match, distance: pairs within an edit distance.
+
+    If two words differ in at most r edits, some of r + 1 parts of the one stands in the other within r places of its own,
+    and their lengths differ by r at most. So pairs meet on part, place and length; only those are compared.
+    """
+    parts, n = radius + 1, F.length(word)
+    cut = lambda k: F.struct(F.floor(n * k / parts).cast("int").alias("a"), F.floor(n * (k + 1) / parts).cast("int").alias("b"))
+    near = F.array(*(F.lit(d) for d in range(-radius, radius + 1)))
+    own = left.select(word, n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(radius)), cut)).alias("p")).withColumn("part", F.substring(word, F.col("p.a") + 1, F.col("p.b") - F.col("p.a")))
+    own = own.withColumn("d", F.explode(near)).withColumn("e", F.explode(near)).select(word, "part", (F.col("p.a") + F.col("d")).alias("place"), (F.col("n") + F.col("e")).alias("m")).where("place >= 0 and m >= 0")
+    # The parts' sizes follow from the words' lengths; there are as many rows as there are lengths.
+    sizes = own.select("m", F.length("part").alias("size")).distinct()
+    other = right.select(F.col(word).alias("match"), F.length(word).alias("m")).join(F.broadcast(sizes), "m")
+    grams = other.where("m >= size").withColumn("place", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("size")))).withColumn("part", F.substring("match", F.col("place") + 1, F.col("size"))).select("match", "m", "place", "part")
+    met = own.join(grams, ["part", "place", "m"]).select(word, "match").distinct()
     return met.withColumn("distance", F.levenshtein(word, "match", radius)).where("distance >= 0")
 
 

@@ -231,7 +231,7 @@ def interval_algebra(spark, sf):
     li = table(spark, sf, "lineitem")
     x, y = F.col("l_suppkey") % 50, F.col("l_partkey") % 50
     rows = li.select("l_orderkey", "l_linenumber", "l_partkey", F.array(intervals.interval(x, x + F.col("l_quantity").cast("long"))).alias("p"), F.array(intervals.interval(y, y + 20)).alias("q"))
-    size = intervals.cardinality
+    size = lambda c: intervals.cardinality(c, disjoint=True)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", size(intervals.intersect("p", "q")).alias("common"), size(intervals.union("p", "q")).alias("joined"), size(intervals.difference("p", "q")).alias("left_only"), size(intervals.symmetric_difference("p", "q")).alias("either"))
 
 

@@ -24,3 +24,15 @@ def arrow_udf(schema: str):
 def worker_cache() -> dict:
     """What a Python worker keeps from task to task."""
     return sys.modules.setdefault("_loomspan_worker", types.ModuleType("_loomspan_worker")).__dict__
+
+
+def guarded(run, default):
+    """run for one value, with a default where it fails."""
+
+    def call(value):
+        try:
+            return run(value)
+        except Exception:
+            return default
+
+    return call

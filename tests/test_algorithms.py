@@ -252,3 +252,9 @@ def test_overlap_elimination(spark, tmp_path):
     j = spark.createDataFrame([('{"a": 1}', '{"a": 2}')], "l string, r string")
     assert j.select(compare.json_differences("l", "r").alias("d")).first().d[0].path == "$.a"
     assert j.select(compare.set_json_path(F.col("l"), ["b", 0], "x").alias("v")).first().v == '{"a": 1, "b": ["x"]}'
+
+
+def test_guarded():
+    from loomspan.udf import guarded
+
+    assert guarded(lambda x: 1 / x, -30)(0) == -30 and guarded(lambda x: 1 / x, -30)(2) == 0.5
