@@ -10,8 +10,8 @@ Equal vectors are one entry that carries its smallest vec_ids, one more than a q
 an answer. Equal queries are searched once.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or differ in size from the most
-frequent size take no part. A null vec_id takes no part. A repeated vec_id is a candidate for each distinct vector it
-has; answers list it as often. A query with fewer candidates than wanted gets all that its lists hold.
+frequent size take no part. A null vec_id takes no part. Equal rows are one. A vec_id with several vectors is a query
+and a candidate with each of them; answers list it as often. A query with fewer candidates than wanted gets all that its lists hold.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def nearest(vectors: DataFrame, every: int = 20, config: AnnConfig = AnnConfig()
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
     first = Window.partitionBy("v").orderBy("vec_id")
     few = rows.distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= want)
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
     queried = asked.select("v").distinct().withColumn("asked", F.lit(True))
     entries = shared_table(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rid", F.get("ids", F.lit(0))).join(queried, "v", "left").select(F.xxhash64("v").alias("key"), "rid", "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")))
     n = entries.count()

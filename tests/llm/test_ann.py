@@ -52,7 +52,10 @@ def test_small_and_empty_tables(spark):
     assert ann.nearest(spark.createDataFrame([(0, [0.0, 0.0])], schema)).collect() == []
     assert ann.nearest(spark.createDataFrame([(20, [1.0, 0.0])], schema)).collect() == []
     got = ann.nearest(spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.5, -0.5])], schema)).collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(20, 1, 3, 0.5), (20, 2, 4, 0.5)]
+    want = [(20, 1, 3, 0.5), (20, 2, 4, 0.5)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == want
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.5, -0.5])] * 2, schema)
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(ann.nearest(twice).collect(), key=lambda r: r["rank"])] == want
 
 
 def test_recall_on_the_table(spark, sf):
