@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..udf import arrow_udf
+from .frames import ranked
 from .sentences import sentences
 
 
@@ -54,13 +55,12 @@ def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def batches(df: DataFrame, size: int, order: Column, keys: list[str] | None = None) -> DataFrame:
     """A column batch: as few batches of at most `size` rows as there can be, of sizes that differ by one at most, the larger first."""
     if keys is None:
-        rank = F.row_number().over(Window.orderBy(order)) - 1
         n = df.count()
         many = max(1, -(-n // size))
         large, base = n % many, n // many
         at = F.col("_rank")
         batch = F.when(at < large * (base + 1), F.floor(at / (base + 1))).otherwise(large + F.floor((at - large * (base + 1)) / F.lit(max(base, 1))))
-        return df.withColumn("_rank", rank).withColumn("batch", batch.cast("int")).drop("_rank")
+        return ranked(df, order, "_rank").withColumn("batch", batch.cast("int")).drop("_rank")
     w = Window.partitionBy(*keys)
     n, rank = F.count("*").over(w), F.row_number().over(w.orderBy(order)) - 1
     rows = df.withColumn("_rank", rank).withColumn("_n", n).withColumn("_many", F.ceil(F.col("_n") / size))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def select_rows(df: DataFrame, fields: list[str] | str = "*", where: str | Column | None = None, order: Column | str | None = None, limit: int | None = None, offset: int = 0, **conditions) -> DataFrame:
@@ -31,9 +32,29 @@ def pages(df: DataFrame, size: int, order: Column | str, limit: int | None = Non
         yield df.orderBy(order).offset(at).limit(min(size, n - at))
 
 
+def ranked(df: DataFrame, order: Column, name: str = "rank", rows_each: int = 1_000_000, most: int = 4096) -> DataFrame:
+    """A column of ranks from 0 over the whole frame, without a task that sees all of it.
+
+    Ranges of the order, bounded by values of a sample, are ranked each; a range starts at the number of rows before it. The
+    bounds are fixed before they are used, so that all passes agree. Equal values share a range: give an order without many ties.
+    """
+    n = df.count()
+    parts = max(1, min(most, n // rows_each))
+    if parts == 1:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    keyed = df.withColumn("_key", F.struct(order.alias("v")))
+    sample = keyed.select("_key").sample(min(1.0, 40 * parts / n), 3).limit(80 * parts).orderBy("_key").collect()
+    schema = T.StructType([T.StructField("b", T.ArrayType(keyed.schema["_key"].dataType))])
+    bounds = df.sparkSession.createDataFrame([([r[0] for r in sample][39::40],)], schema)
+    placed = keyed.join(F.broadcast(bounds)).withColumn("_part", F.size(F.filter("b", lambda b: b <= F.col("_key")))).drop("b")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1)
+    return local.join(F.broadcast(sizes.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local", "_key")
+
+
 def shuffled_pages(df: DataFrame, size: int, order: Column, seed: int = 1234) -> DataFrame:
     """A column page by the order, and a column place: a random order inside each page."""
-    paged = df.withColumn("page", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    paged = ranked(df, order, "_rank").withColumn("page", F.floor(F.col("_rank") / size)).drop("_rank")
     return paged.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(F.rand(seed))))
 
 

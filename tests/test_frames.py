@@ -105,6 +105,13 @@ def test_paging_and_sampling(spark):
     assert frames.shuffled_pages(df, 10, F.col("id")).groupBy("page").count().count() == 3
 
 
+def test_ranks_over_ranges(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(7)
+    for each in (10_000, 300):
+        got = [(r.v, r["rank"]) for r in frames.ranked(df, F.col("v"), rows_each=each).orderBy("v").collect()]
+        assert [r for _, r in got] == list(range(5000))
+
+
 def test_archives(spark, tmp_path):
     rows = [{"a": i, "b": "é"} for i in range(3)]
     lines = "\n".join(json.dumps(r) for r in rows)
