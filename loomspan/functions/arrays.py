@@ -157,20 +157,26 @@ ACTIVATIONS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, not at each place where use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda s, x: s + x)
+
+
 def softmax(array) -> Column:
     a = _c(array)
-    top = F.array_max(a)
-    powers = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda s, x: s + x))
+    powers = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(_sum(p), lambda total: F.transform(p, lambda x: x / total)))
 
 
 def logsumexp(array) -> Column:
     a = _c(array)
-    top = F.array_max(a)
-    return top + F.log(F.aggregate(F.transform(a, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x))
+    return let(F.array_max(a), lambda top: top + F.log(_sum(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def l2_normalize(array) -> Column:
     a = _c(array)
-    norm = F.sqrt(F.aggregate(F.transform(a, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    return F.transform(a, lambda x: x / norm)
+    return let(F.sqrt(_sum(F.transform(a, lambda x: x * x))), lambda norm: F.transform(a, lambda x: x / norm))

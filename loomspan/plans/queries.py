@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return _spread(spark, sf)
 
 
 def _spread(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
@@ -146,7 +146,7 @@ def format_values(spark, sf):
 @query()
 def format_numbers(spark, sf):
     scaled = F.col("o_totalprice") * F.pow(F.lit(10.0), (F.col("o_orderkey") % 13 - 8).cast("double"))
-    return table(spark, sf, "orders").select("o_orderkey", format.format_number(scaled).alias("number"), format.format_percent(F.pmod("o_orderkey", F.lit(101)) / 100).alias("percent"))
+    return _spread(spark, sf, "orders").select("o_orderkey", format.format_number(scaled).alias("number"), format.format_percent(F.pmod("o_orderkey", F.lit(101)) / 100).alias("percent"))
 
 
 _ROWS = "(SELECT l_orderkey, list(l_quantity::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS q FROM lineitem GROUP BY l_orderkey)"
@@ -167,14 +167,14 @@ def array_scalars(spark, sf):
 SELECT vec_id, round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))), 6) AS logsum, round(exp(v[1] - list_max(v)) / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))), 6) AS first_share,
     round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first_unit, len(list_filter(v, lambda x: x > 0)) AS active FROM e""")
 def vector_scalars(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    e = _spread(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     first = lambda c: F.round(F.get(c, F.lit(0)), 6)
     return e.select("vec_id", F.round(arrays.logsumexp("v"), 6).alias("logsum"), first(arrays.softmax("v")).alias("first_share"), first(arrays.l2_normalize("v")).alias("first_unit"), F.size(F.filter("v", lambda x: arrays.ACTIVATIONS["relu"](x) > 0)).alias("active"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.k.none') IS NULL AS missing FROM events")
 def json_paths(spark, sf):
-    e = table(spark, sf, "events").withColumn("v", F.try_parse_json("props"))
+    e = _spread(spark, sf, "events").withColumn("v", F.try_parse_json("props"))
     return e.select("event_id", arrays.get_path("v", "k", kind="bigint").alias("k"), arrays.get_path("v", "k", "none").isNull().alias("missing"))
 
 
@@ -187,7 +187,7 @@ def reward_combine(spark, sf):
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def map_merge(spark, sf):
-    e = table(spark, sf, "events")
+    e = _spread(spark, sf, "events")
     half = lambda odd: e.where(F.col("event_id") % 2 == odd).groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias(f"m{odd}"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     both = half(0).join(half(1), "user_id", "full").select("user_id", arrays.merge_add(F.coalesce("m0", none), F.coalesce("m1", none)).alias("m"))
@@ -228,7 +228,7 @@ def interval_fragments(spark, sf):
 SELECT l_orderkey, l_linenumber, l_partkey, greatest(0, least(b, d) - greatest(a, c)) AS common, (b - a) + 20 - greatest(0, least(b, d) - greatest(a, c)) AS joined, (b - a) - greatest(0, least(b, d) - greatest(a, c)) AS left_only,
     (b - a) + 20 - 2 * greatest(0, least(b, d) - greatest(a, c)) AS either FROM r""")
 def interval_algebra(spark, sf):
-    li = table(spark, sf, "lineitem")
+    li = _spread(spark, sf, "lineitem")
     x, y = F.col("l_suppkey") % 50, F.col("l_partkey") % 50
     rows = li.select("l_orderkey", "l_linenumber", "l_partkey", F.array(intervals.interval(x, x + F.col("l_quantity").cast("long"))).alias("p"), F.array(intervals.interval(y, y + 20)).alias("q"))
     size = lambda c: intervals.cardinality(c, disjoint=True)
@@ -240,7 +240,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, w * h AS common, 50 - w * h AS rest
 def rectangles(spark, sf):
     a = intervals.rectangle(F.col("l_suppkey") % 30, F.col("l_suppkey") % 30 + 10, F.col("l_linenumber"), F.col("l_linenumber") + 5)
     b = intervals.rectangle(F.col("l_partkey") % 30, F.col("l_partkey") % 30 + 8, F.lit(3), F.lit(9))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), b.alias("b"))
+    rows = _spread(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", a.alias("a"), b.alias("b"))
     rest = F.aggregate(F.transform(intervals.rectangle_difference(F.col("a"), F.col("b")), intervals.area), F.lit(0).cast("long"), lambda s, x: s + x)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(intervals.area(intervals.rectangle_intersect(F.col("a"), F.col("b"))), F.lit(0)).cast("long").alias("common"), rest.alias("rest"))
 
@@ -548,12 +548,12 @@ def _matrix(vector, n: int):
 
 @query()
 def dependency_trees(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", tagging.arborescence_udf(_matrix(F.col("embedding"), 8)).alias("heads"))
+    return _spread(spark, sf, "embeddings").select("vec_id", tagging.arborescence_udf(_matrix(F.col("embedding"), 8)).alias("heads"))
 
 
 @query()
 def viterbi_paths(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", _matrix(F.col("embedding"), 8).alias("m"))
+    e = _spread(spark, sf, "embeddings").select("vec_id", _matrix(F.col("embedding"), 8).alias("m"))
     return e.select("vec_id", tagging.viterbi_udf("m", "m").alias("v")).select("vec_id", "v.path", F.round("v.energy", 6).alias("energy"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import combine_reward
-from ..functions.text import citation_penalty, detect_language, terminal_penalty
+from ..functions.arrays import combine_reward, let
+from ..functions.text import citation_penalty, detect_language, display_width, terminal_penalty
 from ..operators.consistency import language_consistency
 from ..operators.markdown import markdown_facts
 from ..operators.repetition import repetition_penalty, repetition_spans
@@ -14,12 +14,11 @@ from ..operators.repetition import repetition_penalty, repetition_spans
 
 def least_window(blocks: Column, size: int = 5) -> Column:
     """The least average width of `size` consecutive paragraphs of a block; null if no block has as many."""
-    from ..functions.text import display_width
 
     def one(block):
-        widths = F.transform(block, display_width)
-        sums = F.transform(F.sequence(F.lit(0), F.size(block) - size), lambda i: F.aggregate(F.slice(widths, i + 1, F.lit(size)), F.lit(0), lambda a, x: a + x))
-        return F.when(F.size(block) >= size, F.array_min(sums) / size)
+        window = lambda widths, i: F.aggregate(F.slice(widths, i + 1, F.lit(size)), F.lit(0), lambda a, x: a + x)
+        least = let(F.transform(block, display_width), lambda widths: F.array_min(F.transform(F.sequence(F.lit(0), F.size(block) - size), lambda i: window(widths, i))))
+        return F.when(F.size(block) >= size, least / size)
 
     return F.array_min(F.transform(blocks, one))
 
