@@ -55,14 +55,15 @@ def bucket_of(word: bytes) -> int:
 
 class _Buckets(dict):
     def __missing__(self, word):
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = crc32(word[-SUFFIX:]) % BUCKETS
         return out
 
 
 def _texts(batch, name=TEXT):
-    return batch.column(name).cast(pa.binary()).to_pylist()
+    for s in range(0, batch.num_rows, 500):
+        yield from batch.column(name).slice(s, 500).cast(pa.binary()).to_pylist()
 
 
 def _count(batches):
@@ -86,7 +87,7 @@ def _count(batches):
             if len(line) > TOKENS_AT_ONCE:
                 _pairs(line, pairs, side)
                 line = []
-            if len(counts) > 200_000:
+            if len(counts) > 100_000:
                 yield flush()
         _pairs(line, pairs, side)
     yield flush()
