@@ -30,6 +30,7 @@ from .common import ID, ROW, TEXT, Shared, keyed, remainder, shared_table
 BUCKETS = 1023  # classes by word ending; the one after them stands for the end in the table of pairs
 SUFFIX = 3
 SEGMENT = 2048
+TRAIN_SEGMENT = 512  # training sequences: whole texts, cut
 TOKENS_AT_ONCE = 200_000
 LONG = 50_000  # tokens from which a text is scored alone, one token after the other
 
@@ -180,11 +181,11 @@ def expected(texts: list[np.ndarray], pi, A, B):
     sums = [np.zeros_like(pi), np.zeros_like(A), np.zeros_like(B)]
     rows, first, total = [], [], 0
     for i, x in enumerate(texts):
-        for s in range(0, len(x), SEGMENT):
-            rows.append(x[s : s + SEGMENT])
+        for s in range(0, len(x), TRAIN_SEGMENT):
+            rows.append(x[s : s + TRAIN_SEGMENT])
             first.append(s == 0)
             total += len(rows[-1])
-            if total > TOKENS_AT_ONCE or (i == len(texts) - 1 and s + SEGMENT >= len(x)):
+            if total > TOKENS_AT_ONCE or (i == len(texts) - 1 and s + TRAIN_SEGMENT >= len(x)):
                 for out, more in zip(sums, _expected(rows, first, pi, A, B), strict=True):
                     out += more
                 rows, first, total = [], [], 0
