@@ -8,7 +8,9 @@ fingerprints within 4 bits share a point within 2 bits of both, so its members a
 Components are contracted round by round over tables in the shared folder.
 
 Defined results: a null or empty text has no words and fingerprint zero, which links like any other. A null doc_id keeps
-its row; the component's name is the smallest doc_id that isn't null. Repeated rows are returned as often as they are.
+its row; the component's name is the smallest doc_id that isn't null, so components without a doc_id share the name null
+and unlinked texts of one doc_id may share theirs. What tells components apart is their root, a fingerprint. Repeated
+rows are returned as often as they are.
 """
 
 from __future__ import annotations
@@ -176,13 +178,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(__row, __id, fp, component_id) of every row."""
+    """(__row, __id, fp, root, component_id) of every row; rows of one component, and no others, have one root."""
     prints = shared_table(fingerprints(keyed(docs, id_col, text_col)))
     distinct = shared_table(prints.groupBy("fp").agg(F.min(ID).alias("least")))
     roots = components(links(distinct.select("fp"), limit))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(names, "root").select("fp", "component_id"), "fp")
+    return prints.join(named.join(names, "root").select("fp", "root", "component_id"), "fp")
 
 
 def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,5 +195,5 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one of the smallest doc_id (of rows that repeat it, the first). Columns are kept."""
     groups = near_duplicates(docs, id_col, text_col)
-    best = groups.groupBy("component_id").agg(F.min(F.struct(F.col(ID).isNull().alias("nil"), F.col(ID), F.col(ROW))).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col(ID).isNull().alias("nil"), F.col(ID), F.col(ROW))).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
     return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias(ROW)).join(best, ROW, "left_semi").select("doc.*")

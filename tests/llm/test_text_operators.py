@@ -377,6 +377,14 @@ def test_simhash_components(docs, nothing):
     assert kept.count() == len({c for _, _, c in want})
 
 
+def test_one_row_stays_of_each_component_whatever_its_ids(spark):
+    """Unrelated texts without a doc_id, or of one doc_id, are components of their own; a copy with a doc_id goes before one without."""
+    texts = [(None, "red apples grow on old trees"), (None, "seven ships sailed north at dawn"), (None, "a clock without hands tells no time"), (None, ""), (4, "rain fell on the tin roof"), (4, "nobody read the third letter"), (5, "seven ships sailed north at dawn"), (None, "red apples grow on old trees")]
+    given = shared_table(spark.createDataFrame([(*r, 7, "clash", 3, "k") for r in texts], COLUMNS).repartition(3))
+    kept = rows(simhash.keep_one(given).select("doc_id", "text"))
+    assert kept == sorted({*texts} - {texts[1]}, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
 @pytest.mark.parametrize("limit", [8192, 5])
 def test_links_connect_as_all_pairs_do(spark, limit):
     """Dense clusters, chains and lone prints; the small limit sends buckets down the way of shared points."""
