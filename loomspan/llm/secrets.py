@@ -8,7 +8,9 @@ Positions: the pieces between a pattern's matches and the matches themselves, in
 of their lengths give every start. They are summed over exploded rows, linear in the matches of a text.
 
 Defined results: a null text is the empty blob and has no findings. Null and repeated doc_ids are rows like any other.
-Overlapping spans of different kinds are all reported; when a text is redacted they are merged first.
+Overlapping spans of different kinds are all reported; when a text is redacted they are merged first. A private key's
+finding is its BEGIN line, as in the query's SQL; what is redacted is the key: all from BEGIN to its END or, where another
+marker or nothing comes first, the base64 lines that follow (line breaks may be written as \\n, lines quoted or indented).
 """
 
 from __future__ import annotations
@@ -42,6 +44,13 @@ RULES = (
     Rule("pem", r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY-----", 0, 0, False),
 )
 
+_BREAK = r"(?:[\s>\"'+,]|\\[nrt])"
+#: Possessive loops: they neither recurse nor go back, so the length of a key or of a text without END costs no stack and no second pass.
+_TO_END = r"(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY-----"
+_LINES = rf"(?:{_BREAK}*+(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]++)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{16}})(?:[ \t\"'+,]*+(?:\r?\n|(?:\\r)?\\n)[ \t>\"'+]*+[A-Za-z0-9+/]++={{0,2}}+(?=[ \t\"',;]*+(?:[\r\n\\]|\z))|[ \t]++[A-Za-z0-9+/]++={{1,2}}+))?+"
+#: What is cut out of texts: the rules, with whole private keys.
+REDACTED = tuple(Rule(r.kind, f"{r.pattern}(?:{_TO_END}|{_LINES})", r.least, r.group, r.base) if r.kind == "pem" else r for r in RULES)
+
 
 def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__row, __id, __text, blob) of docs."""
@@ -118,7 +127,7 @@ def findings_by_path(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: s
     return joined.select(F.col(ID).alias("doc_id"), *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules), F.sha2(F.coalesce("base", none).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with every found span of the text replaced by a mark (and the count of characters mended where a text changed)."""
     names = docs.columns
     rows = docs.select(F.struct("*").alias("doc")).withColumn(TEXT, F.coalesce(F.col("doc")[text_col], F.lit(""))).withColumn("blob", F.sha2(F.col(TEXT).cast("binary"), 256)).withColumn(ROW, F.monotonically_increasing_id())
