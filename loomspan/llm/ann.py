@@ -3,7 +3,9 @@
 Vectors get one more component that makes all lengths equal, so the nearest by distance has the largest inner product.
 Centroids come from k-means on a bounded sample; they are searched through an in-memory neighbour graph. A vector goes to
 its nearest list and, if it lies near a boundary, to further ones whose distance is within a ratio of the nearest. A
-query reads the lists whose centroids are within a ratio of its nearest one. Lists (and the queries of a list) above a
+query reads the lists whose centroids are within a ratio of its nearest one. How many lists, up to which ratio and with
+how wide a beam is measured in every run: the neighbours of a few queries are found by brute force, and so many lists are
+read that these queries miss no more of them than the wanted recall allows; at worst that is all lists. Lists (and the queries of a list) above a
 bound are cut into chunks, so every group that is searched is bounded, and all chunks are searched: nothing is left out.
 
 Equal vectors are one entry that carries its smallest vec_ids, one more than a query returns; no other of them could be in
@@ -34,11 +36,13 @@ class AnnConfig:
     sample: int = 16_384  # vectors that k-means is fitted on at most
     rounds: int = 8
     degree: int = 16  # of the centroids' graph
-    beam: int = 64
+    beam: int = 64  # at least
     replicas: int = 4
     boundary: float = 1.10  # distance ratio up to which a vector is replicated
-    probes: int = 48
-    prune: float = 1.35  # distance ratio up to which a query reads lists
+    probes: int = 48  # lists that a query may read, at least
+    prune: float = 1.35  # distance ratio up to which a query reads lists, at least
+    recall: float = 0.95  # of the trial queries; what they were not asked may come out a little lower
+    trial: int = 256  # queries answered by brute force at most
     chunk: int = 4096
     seed: int = 5
 
@@ -51,7 +55,7 @@ class Centroids:
         self.norms = (points**2).sum(1)
         k = len(points)
         degree = min(config.degree, k - 1)
-        self.beam = min(config.beam, k)
+        self.beam, self.degree = min(config.beam, k), degree
         self.graph = np.zeros((k, max(1, degree)), dtype=np.int64)
         for s in range(0, k, 512):
             d = self.norms[None] - 2 * points[s : s + 512] @ points.T
@@ -62,18 +66,30 @@ class Centroids:
         # The graph of nearest neighbours may fall apart; entries spread over it, one for every few centroids, reach its parts.
         self.entries = np.sort(rng.choice(k, size=min(k, max(self.beam, k // 32)), replace=False))
 
-    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, squared distances) by rising distance, beam of them."""
-        out = [self._nearest(x[s : s + 1024]) for s in range(0, len(x), 1024)]
+    def nearest(self, x: np.ndarray, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, squared distances) by rising distance, beam of them. A beam that would meet all centroids compares them all at once."""
+        beam = beam or self.beam
+        search = self._all if beam * self.degree >= len(self.points) - 1 else self._nearest
+        out = [search(x[s : s + 256], beam) for s in range(0, len(x), 256)]
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
-    def _nearest(self, x):
+    def _all(self, x, beam):
+        d = self.norms[None] - 2 * x @ self.points.T
+        ids = np.argpartition(d, beam - 1, axis=1)[:, :beam]
+        dist = np.take_along_axis(d, ids, axis=1)
+        order = np.lexsort((ids, dist), axis=1)
+        return np.take_along_axis(ids, order, axis=1), np.maximum(np.take_along_axis(dist, order, axis=1) + (x**2).sum(1)[:, None], 0)
+
+    def _nearest(self, x, beam):
         n, size = len(x), (x**2).sum(1)
-        d = self.norms[self.entries][None] - 2 * x @ self.points[self.entries].T
+        # As many entries as the beam is wide, so that it is full from the start.
+        more = np.setdiff1d(np.arange(len(self.points)), self.entries)[: max(0, beam - len(self.entries))]
+        entries = np.concatenate([self.entries, more])
+        d = self.norms[entries][None] - 2 * x @ self.points[entries].T
         seen = np.zeros((n, len(self.points)), dtype=bool)
-        seen[:, self.entries] = True
-        keep = np.argsort(d, axis=1, kind="stable")[:, : self.beam]
-        ids, dist = self.entries[keep], np.take_along_axis(d, keep, axis=1)
+        seen[:, entries] = True
+        keep = np.argsort(d, axis=1, kind="stable")[:, :beam]
+        ids, dist = entries[keep], np.take_along_axis(d, keep, axis=1)
         open_ = np.ones_like(ids, dtype=bool)
         rows = np.arange(n)
         while True:
@@ -96,7 +112,7 @@ class Centroids:
             new[twice] = np.inf
             both, far = np.concatenate([ids, near], axis=1), np.concatenate([dist, new], axis=1)
             opened = np.concatenate([open_, np.isfinite(new)], axis=1)
-            keep = np.argsort(far, axis=1, kind="stable")[:, : self.beam]
+            keep = np.argsort(far, axis=1, kind="stable")[:, :beam]
             ids, dist, open_ = (np.take_along_axis(v, keep, axis=1) for v in (both, far, opened))
         return ids, np.maximum(dist + size[:, None], 0)
 
@@ -125,6 +141,63 @@ def _lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))[:, None]], axis=1)
 
 
+def _aimed(x: np.ndarray, longest: float) -> np.ndarray:
+    """Queries among the lifted vectors: a query's length doesn't change its order, so all get the longest."""
+    return np.concatenate([x * (longest / np.sqrt((x**2).sum(1)))[:, None], np.zeros((len(x), 1))], axis=1)
+
+
+def _read(dist: np.ndarray, probes: int, prune: float) -> np.ndarray:
+    """Which of the lists by rising distance a query reads: eight, and up to probes of them within the ratio."""
+    good = dist[:, :probes] <= prune * np.maximum(dist[:, :1], 1e-9)
+    good[:, :8] = True
+    return good
+
+
+def reach(entries: DataFrame, held: DataFrame, centroids: Centroids, longest: float, config: AnnConfig) -> tuple[int, int, float]:
+    """(beam, probes, prune) with which trial queries find the wanted part of their neighbours, which brute force tells."""
+    k, least = len(centroids.points), min(config.probes, len(centroids.points))
+    asked = entries.where("asked").orderBy("key", "rid").limit(config.trial).select("key", "v").toPandas()
+    if not len(asked):
+        return centroids.beam, least, config.prune
+    trial = Shared(entries.sparkSession, (_matrix(asked.v), asked.key.to_numpy()))
+
+    def top(batches):
+        x, own = trial.value
+        score, key = np.full((len(x), config.neighbours), -np.inf), np.zeros((len(x), config.neighbours), dtype=np.int64)
+        for frame in batches:
+            if len(frame):
+                keys = frame.key.to_numpy()
+                product = x @ _matrix(frame.v).T
+                product[own[:, None] == keys[None]] = -np.inf
+                score, key = np.concatenate([score, product], axis=1), np.concatenate([key, np.broadcast_to(keys, product.shape)], axis=1)
+                at = np.argpartition(-score, config.neighbours - 1, axis=1)[:, : config.neighbours]
+                score, key = np.take_along_axis(score, at, axis=1), np.take_along_axis(key, at, axis=1)
+        r, c = np.nonzero(np.isfinite(score))
+        yield pd.DataFrame({"query": r, "key": key[r, c], "score": score[r, c]})
+
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "key")
+    near = entries.select("key", "v").mapInPandas(top, "query long, key long, score double").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= config.neighbours)
+    met = held.select("list", "key").join(F.broadcast(near.select("query", "key")), "key").distinct().toPandas()
+    if not len(met):
+        return centroids.beam, least, config.prune
+    beam, x, loose = max(centroids.beam, least), _aimed(_matrix(asked.v), longest), (1 + config.recall) / 2
+    while True:
+        ids, dist = centroids.nearest(x, beam)
+        dist = np.sqrt(dist)
+        place = np.full((len(x), k), k)
+        np.put_along_axis(place, ids, np.arange(beam)[None], axis=1)
+        first = met.assign(place=place[met["query"], met["list"]]).groupby(["query", "key"], as_index=False)["place"].min()
+        q, nth = first["query"].to_numpy(), first["place"].to_numpy()
+        if beam == k or (nth < beam).mean() >= loose:
+            break
+        beam = min(k, 2 * beam)
+    ratio = np.where(nth < 8, 0.0, np.where(nth < beam, dist[q, np.minimum(nth, beam - 1)] / np.maximum(dist[q, 0], 1e-9), np.inf))
+    # The ratio and the number of lists each leave out some of what is missed; 1e-9 keeps the last pair within its own ratio.
+    prune = max(config.prune, float(np.sort(ratio)[int(np.ceil(loose * len(ratio))) - 1]) * (1 + 1e-9))
+    kept = np.sort(np.where(ratio <= prune, nth, k))
+    return beam, min(beam, max(least, int(kept[int(np.ceil(config.recall * len(kept))) - 1]) + 1)), prune
+
+
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
@@ -154,7 +227,8 @@ def nearest(vectors: DataFrame, every: int = 20, config: AnnConfig = AnnConfig()
     sample = entries.where(F.pmod("key", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("key", "rid").limit(config.sample).select("v").toPandas()
     points = _lifted(_matrix(sample.v), longest) if len(sample) else _lifted(_matrix(entries.limit(1).toPandas().v), longest)
     k = max(1, min(config.most_lists, n // config.list_size, len(points)))
-    model = Shared(spark, (Centroids(k_means(points, k, config), config), longest))
+    centroids = Centroids(k_means(points, k, config), config)
+    model = Shared(spark, (centroids, longest))
 
     def assign(batches):
         centroids, longest = model.value
@@ -167,24 +241,22 @@ def nearest(vectors: DataFrame, every: int = 20, config: AnnConfig = AnnConfig()
                 r, c = np.nonzero(good)
                 yield pd.DataFrame({"list": ids[r, c], "key": frame.key.to_numpy()[r], "rid": frame.rid.to_numpy()[r], "v": frame.v.to_numpy()[r]})
 
+    place = "list long, key long, rid long, v array<double>"
+    held = shared_table(entries.select("key", "rid", "v").mapInPandas(assign, place))
+    beam, probes, prune = reach(entries, held, centroids, longest, config)
+
     def probe(batches):
         centroids, longest = model.value
         for frame in batches:
-            if len(frame):
-                x = _matrix(frame.v)
-                x *= (longest / np.sqrt((x**2).sum(1)))[:, None]  # a query's length doesn't change its order, and this one lies among the vectors
-                ids, dist = centroids.nearest(np.concatenate([x, np.zeros((len(x), 1))], axis=1))
-                dist = np.sqrt(dist)
-                take = min(config.probes, ids.shape[1])
-                good = dist[:, :take] <= config.prune * dist[:, :1] + 1e-12
-                good[:, : min(8, take)] = True
-                r, c = np.nonzero(good)
-                yield pd.DataFrame({"list": ids[r, c], "key": frame.key.to_numpy()[r], "rid": frame.rid.to_numpy()[r], "v": frame.v.to_numpy()[r]})
+            for s in range(0, len(frame), 1024):
+                part = frame.iloc[s : s + 1024]
+                ids, dist = centroids.nearest(_aimed(_matrix(part.v), longest), beam)
+                good = _read(np.sqrt(dist), probes, prune)
+                yield part.assign(lists=[i[g] for i, g in zip(ids[:, :probes], good, strict=True)])
 
-    place = "list long, key long, rid long, v array<double>"
-    held = entries.select("key", "rid", "v").mapInPandas(assign, place)
-    wanted = entries.where("asked").select("key", "rid", "v").mapInPandas(probe, place)
-    held, wanted = shared_table(held), shared_table(wanted)
+    # A query is stored once with its lists, however many.
+    wanted = shared_table(entries.where("asked").select("key", "rid", "v").mapInPandas(probe, "key long, rid long, v array<double>, lists array<long>"))
+    wanted = wanted.select(F.explode("lists").alias("list"), "key", "rid", "v")
     chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / config.chunk).cast("int").alias(name))  # noqa: E731  at most most_lists rows
     cut = chunks(held, "hold").join(chunks(wanted, "ask"), "list")
     by = lambda df, own, other: df.join(F.broadcast(cut), "list").withColumn("mine", F.pmod(F.xxhash64("key", "rid"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))

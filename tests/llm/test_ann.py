@@ -69,3 +69,19 @@ def test_recall_on_the_table(spark, sf):
         near = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
         hits.append(len(set(ids[near]) & set(g.vec_id)) / 20)
     assert np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("beam", [4, 16])
+def test_recall_where_lists_far_outnumber_probes(spark, beam):
+    """Vectors without clusters spread their neighbours over many lists; the few probes and the narrow beam must grow with them."""
+    x = np.random.default_rng(3).normal(size=(6000, 24))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(5)
+    got = ann.nearest(df, 20, ann.AnnConfig(neighbours=10, list_size=8, probes=beam, beam=beam, prune=1.05, degree=8, sample=6000, rounds=2)).toPandas()
+    y = x.astype(float)
+    hits = []
+    for q, g in got.groupby("query_id"):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argpartition(-s, 10)[:10]) & set(g.vec_id)) / 10)
+    assert len(hits) == 300 and np.mean(hits) >= 0.9
