@@ -6,9 +6,12 @@ the corpus counts, so the state tables stay bounded (states x classes) while the
 
 1. One pass counts words and pairs of neighbouring hash classes over all training texts.
 2. The driver starts the states from the bounded table of pairs (an aggregate Markov model fitted by EM).
-3. Each Baum-Welch round sums expected counts in every task, then across partitions (classes x states numbers).
-4. A scaled forward recursion gives the exact log-likelihood of every text. Words outside the broadcast head of frequent
-   words are sent once per text and distinct word and joined with the counts.
+3. One pass writes every text's classes (two bytes a token) and its words outside the broadcast head of frequent words;
+   the rounds and the scores read this table, so no text is split again.
+4. Each Baum-Welch round runs forward and backward over whole texts, however long, and sums the expected counts in every
+   task, then across partitions (classes x states numbers).
+5. A scaled forward recursion gives the exact log-likelihood of every text. Words outside the head are sent once per text
+   and distinct word and joined with the counts.
 
 Defined results: a null or empty text has one token, its end. A null doc_id counts as the empty string when the held-out
 rows are dealt. Repeated rows are scored (and counted) each. Without training rows all counts are 0.
@@ -29,10 +32,8 @@ from .common import ID, ROW, TEXT, Shared, keyed, remainder, shared_table
 
 BUCKETS = 1023  # classes by word ending; the one after them stands for the end in the table of pairs
 SUFFIX = 3
-SEGMENT = 2048
-TRAIN_SEGMENT = 512  # training sequences: whole texts, cut
 TOKENS_AT_ONCE = 200_000
-LONG = 50_000  # tokens from which a text is scored alone, one token after the other
+LONG = 50_000  # tokens above which a text runs alone, so many at a time
 
 
 @dataclass(frozen=True)
@@ -107,24 +108,35 @@ def _pairs(line, pairs, side):
 # The recursion works on many texts at once: rows are sorted by length, tokens laid out by position.
 
 
+def _together(texts: list[np.ndarray]):
+    """Groups of texts of about TOKENS_AT_ONCE tokens, alike in length so that a group needs few steps; those above LONG are alone."""
+    group, total = [], 0
+    for i in np.argsort([-len(x) for x in texts], kind="stable").tolist():
+        if group and (len(texts[group[0]]) > LONG or total + len(texts[i]) > TOKENS_AT_ONCE):
+            yield group
+            group, total = [], 0
+        group.append(i)
+        total += len(texts[i])
+    if group:
+        yield group
+
+
 def _layout(codes: list[np.ndarray]):
-    lens = np.array([len(x) for x in codes])
-    order = np.argsort(-lens, kind="stable")
-    size = lens[order]
+    """Of texts by falling length: how many there are at each position, where it begins, all tokens by position, each one's row."""
+    size = np.array([len(x) for x in codes])
     active = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")
     off = np.concatenate([[0], np.cumsum(active)])
     rank = np.repeat(np.arange(len(size)), size)
     at = off[np.arange(len(rank)) - np.repeat(np.cumsum(size) - size, size)] + rank
     flat, rank_at = np.empty(len(rank), dtype=np.int64), np.empty(len(rank), dtype=np.int64)
-    flat[at], rank_at[at] = np.concatenate([codes[i] for i in order]), rank
-    return order, size, active, off, flat, rank_at
+    flat[at], rank_at[at] = np.concatenate(codes), rank
+    return active, off, flat, rank_at
 
 
 def _forward(E, active, off, A, start):
-    """Scaled alphas and their scales; start: the prediction for each row's first token."""
+    """Scaled alphas and their scales; start: the prediction for the first tokens."""
     alpha, scale, ahead = np.empty_like(E), np.empty(len(E)), start
-    for t, n in enumerate(active):
-        o = off[t]
+    for o, n in zip(off.tolist(), active.tolist(), strict=False):
         a = ahead[:n] * E[o : o + n]
         c = a.sum(1)
         a /= c[:, None]
@@ -133,83 +145,86 @@ def _forward(E, active, off, A, start):
     return alpha, scale
 
 
+def _line(n: int):
+    """The layout of one text."""
+    return np.ones(n, dtype=np.int64), np.arange(n + 1)
+
+
 def log10_likelihood(texts: list[np.ndarray], pi, A, B) -> np.ndarray:
-    """Exact log10 P of each class sequence. Long ones go in segments, each run once per state before it and then chained."""
-    K, out = len(pi), np.zeros(len(texts))
-    rows, starts, owner = [], [], []
-    for i, x in enumerate(texts):
+    """Exact log10 P of each class sequence."""
+    out = np.zeros(len(texts))
+    for group in _together(texts):
+        x = texts[group[0]]
         if len(x) > LONG:
-            out[i] = _alone(x, pi, A, B)
-            continue
-        for s in range(0, len(x), SEGMENT):
-            rows += [x[s : s + SEGMENT]] * (K if s else 1)
-            starts.append(A if s else pi[None])
-            owner.append((i, s > 0))
-    if not rows:
-        return out
-    order, size, active, off, flat, rank_at = _layout(rows)
-    alpha, scale = _forward(B.T[flat], active, off, A, np.concatenate(starts)[order])
-    logs, ends = np.empty(len(rows)), np.empty((len(rows), K))
-    logs[order] = np.bincount(rank_at, weights=np.log10(scale), minlength=len(rows))
-    ends[order] = alpha[off[size - 1] + np.arange(len(size))]
-    r, v = 0, None
-    for i, chained in owner:
-        if not chained:
-            out[i], v, r = logs[r], ends[r], r + 1
+            ahead = pi
+            for s in range(0, len(x), LONG):
+                part = x[s : s + LONG]
+                alpha, scale = _forward(B.T[part], *_line(len(part)), A, ahead[None])
+                out[group[0]] += np.log10(scale).sum()
+                ahead = alpha[-1] @ A
         else:
-            part, top = logs[r : r + K], logs[r : r + K].max()
-            v = (v * 10 ** (part - top)) @ ends[r : r + K]
-            out[i] += top + np.log10(v.sum())
-            v, r = v / v.sum(), r + K
+            active, off, flat, rank_at = _layout([texts[i] for i in group])
+            _, scale = _forward(B.T[flat], active, off, A, np.broadcast_to(pi, (len(group), len(pi))))
+            out[group] = np.bincount(rank_at, weights=np.log10(scale), minlength=len(group))
     return out
 
 
-def _alone(x: np.ndarray, pi, A, B) -> float:
-    total, ahead = 0.0, pi
-    for s in range(0, len(x), LONG):
-        scales = np.empty(len(x[s : s + LONG]))
-        for t, e in enumerate(B.T[x[s : s + LONG]]):
-            a = ahead * e
-            scales[t] = c = a.sum()
-            ahead = (a / c) @ A
-        total += np.log10(scales).sum()
-    return float(total)
-
-
 def expected(texts: list[np.ndarray], pi, A, B):
-    """Expected starts, transitions and emissions of the class sequences, which are cut into segments for this."""
+    """Expected starts, transitions and emissions of the class sequences, each run forward and backward as a whole."""
     sums = [np.zeros_like(pi), np.zeros_like(A), np.zeros_like(B)]
-    rows, first, total = [], [], 0
-    for i, x in enumerate(texts):
-        for s in range(0, len(x), TRAIN_SEGMENT):
-            rows.append(x[s : s + TRAIN_SEGMENT])
-            first.append(s == 0)
-            total += len(rows[-1])
-            if total > TOKENS_AT_ONCE or (i == len(texts) - 1 and s + TRAIN_SEGMENT >= len(x)):
-                for out, more in zip(sums, _expected(rows, first, pi, A, B), strict=True):
-                    out += more
-                rows, first, total = [], [], 0
+    for group in _together(texts):
+        rows = [texts[i] for i in group]
+        found = _expected_alone(rows[0], pi, A, B) if len(rows[0]) > LONG else _expected(rows, pi, A, B)
+        for out, more in zip(sums, found, strict=True):
+            out += more
     return sums
 
 
-def _expected(rows: list[np.ndarray], first: list[bool], pi, A, B):
-    K = len(pi)
-    order, size, active, off, flat, rank_at = _layout(rows)
-    opening = np.array(first)[order]
+def _emissions(gamma, codes, classes):
+    return np.stack([np.bincount(codes, weights=gamma[:, k], minlength=classes) for k in range(gamma.shape[1])])
+
+
+def _expected(rows: list[np.ndarray], pi, A, B):
+    active, off, flat, _ = _layout(rows)
     E = B.T[flat]
-    alpha, scale = _forward(E, active, off, A, np.where(opening[:, None], pi, pi @ A))
+    alpha, scale = _forward(E, active, off, A, np.broadcast_to(pi, (len(rows), len(pi))))
     beta, back = np.ones_like(E), np.ascontiguousarray(A.T)
     E /= scale[:, None]
-    for t in range(len(active) - 2, -1, -1):
-        o, p, n = off[t], off[t + 1], active[t + 1]
+    begin, number = off.tolist(), active.tolist()
+    for t in range(len(number) - 2, -1, -1):
+        o, p, n = begin[t], begin[t + 1], number[t + 1]
         beta[o : o + n] = (E[p : p + n] * beta[p : p + n]) @ back
     E *= beta
-    later = slice(off[1], None)
     before = np.arange(off[1], len(flat)) - np.repeat(active[:-1], active[1:])
-    moves = A * (alpha[before].T @ E[later])
+    moves = A * (alpha[before].T @ E[off[1] :])
     alpha *= beta
-    gone = np.stack([np.bincount(flat, weights=alpha[:, k], minlength=B.shape[1]) for k in range(K)])
-    return alpha[: active[0]][opening].sum(0), moves, gone
+    return alpha[: active[0]].sum(0), moves, _emissions(alpha, flat, B.shape[1])
+
+
+def _expected_alone(x: np.ndarray, pi, A, B):
+    """The same of one very long text: only the states before every LONG-th token are kept, and each stretch is run again backwards."""
+    ahead, stretches = pi, []
+    for s in range(0, len(x), LONG):
+        stretches.append((x[s : s + LONG], ahead))
+        alpha, _ = _forward(B.T[stretches[-1][0]], *_line(len(stretches[-1][0])), A, ahead[None])
+        ahead = alpha[-1] @ A
+    moves, gone, after = np.zeros_like(A), np.zeros_like(B), None
+    for part, ahead in reversed(stretches):
+        E = B.T[part]
+        alpha, scale = _forward(E, *_line(len(part)), A, ahead[None])
+        E /= scale[:, None]
+        beta = np.ones_like(E)
+        if after is not None:
+            beta[-1] = A @ after
+            moves += A * np.outer(alpha[-1], after)
+        for t in range(len(part) - 2, -1, -1):
+            beta[t] = A @ (E[t + 1] * beta[t + 1])
+        E *= beta
+        moves += A * (alpha[:-1].T @ E[1:])
+        after = E[0]
+        alpha *= beta
+        gone += _emissions(alpha, part, B.shape[1])
+    return alpha[0], moves, gone
 
 
 def start_states(pairs: np.ndarray, states: int, rounds: int, seed: int):
@@ -246,37 +261,71 @@ def _class_table(model) -> np.ndarray:
     return np.concatenate([model["class_of_head"], model["own"] + np.arange(BUCKETS), [model["own"] + BUCKETS]])
 
 
-def _grouped(batches, codes, end):
-    """Lists of texts of about TOKENS_AT_ONCE tokens: (batch, positions, words, codes)."""
-    for batch in batches:
-        at, words, seqs, total = [], [], [], 0
-        for i, text in enumerate(_texts(batch)):
-            ws = words_of(text)
-            seq = np.array([*map(codes.__getitem__, ws), end], dtype=np.int64)
-            at.append(i)
-            words.append(ws)
-            seqs.append(seq)
-            total += len(seq) * (8 if SEGMENT < len(seq) <= LONG else 1)
-            if total > TOKENS_AT_ONCE:
-                yield batch, at, words, seqs
-                at, words, seqs, total = [], [], [], 0
-        if at:
-            yield batch, at, words, seqs
+CODED = f"{ROW} long, {ID} long, held_out boolean, n_tokens long, n_known long, base_part double, within_part double, classes binary, rare array<binary>, tf array<long>"
 
 
-def _expect(shared):
-    """Rows (class, values): expected emissions of each class by state; class -1: starts, -2 - k: transitions from state k."""
+def _encode(shared):
+    """Each text's classes, what it has of the scores by itself, and its words outside the head with their counts."""
 
     def run(batches):
         model = shared.value
         codes, table = _codes(model), _class_table(model)
-        pi, A, B = model["pi"], model["A"], model["B"]
-        starts, moves, gone = np.zeros_like(pi), np.zeros_like(A), np.zeros_like(B)
-        for _, _, _, seqs in _grouped(batches, codes, len(table) - 1):
-            s, m, g = expected([table[x] for x in seqs], pi, A, B)
-            starts += s
-            moves += m
-            gone += g
+        size, end, base, within, known = len(model["head"]), len(table) - 1, model["base"], model["within"], model["known"]
+        short = table.astype("<u2")
+
+        def coded(batch, at, seqs, rare):
+            n, lens = len(seqs), np.array([len(x) for x in seqs])
+            owner, flat = np.repeat(np.arange(n), lens), np.concatenate(seqs)
+            total = lambda x: np.bincount(owner, weights=x, minlength=n)
+            took = pa.array(at)
+            own = [batch.column(c).take(took) for c in (ROW, ID, "held_out")]
+            sums = [pa.array(lens), pa.array(total(known[flat]).astype(np.int64)), pa.array(total(base[flat])), pa.array(total(within[flat]))]
+            lists = [pa.array([short[x].tobytes() for x in seqs], pa.binary()), pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int64()))]
+            return pa.record_batch([*own, *sums, *lists], [c.split()[0] for c in CODED.split(", ")])
+
+        for batch in batches:
+            at, seqs, rare, total = [], [], [], 0
+            for i, text in enumerate(_texts(batch)):
+                words = words_of(text)
+                seq = np.array([*map(codes.__getitem__, words), end], dtype=np.int64)
+                at.append(i)
+                seqs.append(seq)
+                rare.append(Counter([words[j] for j in np.flatnonzero((seq >= size) & (seq < end)).tolist()]))
+                total += len(seq)
+                if total > TOKENS_AT_ONCE:
+                    yield coded(batch, at, seqs, rare)
+                    at, seqs, rare, total = [], [], [], 0
+            if at:
+                yield coded(batch, at, seqs, rare)
+
+    return run
+
+
+def _sequences(batch, begin: int, number: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in batch.column("classes").slice(begin, number).to_pylist()]
+
+
+def _slices(batch):
+    """(begin, number) of runs of a batch's rows of about 16 groups of tokens."""
+    sizes = np.array([len(x) // 2 for x in batch.column("classes").to_pylist()])
+    begin = 0
+    while begin < len(sizes):
+        number = max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), 16 * TOKENS_AT_ONCE, side="right")))
+        yield begin, number
+        begin += number
+
+
+def _expect(shared):
+    """Rows (class, values): expected emissions of each class by state; class -1: starts, -2 - k: transitions from state k."""
+
+    def run(batches):
+        pi, A, B = shared.value
+        sums = [np.zeros_like(pi), np.zeros_like(A), np.zeros_like(B)]
+        for batch in batches:
+            for part in _slices(batch):
+                for out, more in zip(sums, expected(_sequences(batch, *part), pi, A, B), strict=True):
+                    out += more
+        starts, moves, gone = sums
         used = np.flatnonzero(gone.sum(0))
         keys = np.concatenate([[-1], -2 - np.arange(len(pi)), used])
         values = np.concatenate([starts[None], moves, gone[:, used].T])
@@ -285,47 +334,25 @@ def _expect(shared):
     return run
 
 
-SCORED = f"{ROW} long, {ID} long, held_out boolean, word binary, n_tokens long, n_known long, base_part double, model_part double, tf long"
+OWN = [ROW, ID, "held_out", "n_tokens", "n_known", "base_part"]
+SCORED = f"{ROW} long, {ID} long, held_out boolean, n_tokens long, n_known long, base_part double, model_part double"
 
 
 def _score(shared):
-    """One row for each text, under a word with a blank, which no word of a text equals, and one for each of its words outside the head."""
-
     def run(batches):
-        model = shared.value
-        codes, table = _codes(model), _class_table(model)
-        size, end = len(model["head"]), len(table) - 1
-        base, within, known = model["base"], model["within"], model["known"]
-        for batch, at, words, seqs in _grouped(batches, codes, end):
-            n, lens = len(seqs), np.array([len(x) for x in seqs])
-            owner, flat = np.repeat(np.arange(n), lens), np.concatenate(seqs)
-            total = lambda x: np.bincount(owner, weights=x, minlength=n)
-            base_part, n_known = total(base[flat]), total(known[flat])
-            model_part = total(within[flat]) + log10_likelihood([table[x] for x in seqs], model["pi"], model["A"], model["B"])
-            rows = batch.column(ROW).take(pa.array(at))
-            own, rare, tf = [], [], []
-            for i, (ws, seq) in enumerate(zip(words, seqs, strict=True)):
-                seen = Counter([ws[j] for j in np.flatnonzero((seq >= size) & (seq < end))])
-                own += [i] * len(seen)
-                rare += seen.keys()
-                tf += seen.values()
-            m, ids = len(rare), batch.column(ID).take(pa.array(at))
-            held = batch.column("held_out").take(pa.array(at))
-            yield pa.record_batch([rows, ids, held, pa.array([b" %d" % x for x in rows.to_pylist()], pa.binary()), pa.array(lens), pa.array(n_known.astype(np.int64)), pa.array(base_part), pa.array(model_part), pa.array(np.zeros(n, dtype=np.int64))], NAMES)
-            if m:
-                at_own, zero = pa.array(own), np.zeros(m)
-                nil = pa.array(zero.astype(np.int64))
-                yield pa.record_batch([rows.take(at_own), ids.take(at_own), held.take(at_own), pa.array(rare, pa.binary()), nil, nil, pa.array(zero), pa.array(zero), pa.array(tf, pa.int64())], NAMES)
+        states = shared.value
+        for batch in batches:
+            for begin, number in _slices(batch):
+                part = batch.slice(begin, number)
+                score = log10_likelihood(_sequences(batch, begin, number), *states) + part.column("within_part").to_numpy(zero_copy_only=False)
+                yield pa.record_batch([*(part.column(c) for c in OWN), pa.array(score)], [*OWN, "model_part"])
 
     return run
 
 
-NAMES = [ROW, ID, "held_out", "word", "n_tokens", "n_known", "base_part", "model_part", "tf"]
-
-
-def fit(train: DataFrame, config: HmmConfig = HmmConfig()) -> tuple[dict, DataFrame]:
-    """The bounded model and the table (word, n) of all training words; train: the rows of keyed()."""
-    spark, K = train.sparkSession, config.states
+def start(train: DataFrame, config: HmmConfig = HmmConfig()) -> tuple[dict, DataFrame]:
+    """The bounded model before Baum-Welch and the table (word, n) of all training words outside its head; train: rows of keyed()."""
+    K = config.states
     counted = shared_table(train.select(TEXT).mapInArrow(_count, "word binary, cell long, n long").groupBy("word", "cell").agg(F.sum("n").alias("n")))
     words = counted.where("word is not null").select("word", "n")
     side = BUCKETS + 1
@@ -370,43 +397,64 @@ def fit(train: DataFrame, config: HmmConfig = HmmConfig()) -> tuple[dict, DataFr
     floor, inside = np.log10(total + 0.5 * (distinct + 1)), np.log10(sums + 0.5 * (kinds + 1))
     log = np.log10(counts + 0.5)
     model = {
-        "head": [w for _, w in head], "own": own, "class_of_head": class_of_head, "train_tokens": total, "pi": np.full(K, 1.0 / K), "A": A, "B": B,
-        "base": np.concatenate([log - floor, np.full(BUCKETS, -floor), [np.log10(texts + 0.5) - floor]]),
-        "within": np.concatenate([np.where(np.arange(size) < own, 0.0, log - inside[buckets]), -inside, [0.0]]),
+        "head": [w for _, w in head], "own": own, "class_of_head": class_of_head, "train_tokens": total, "corpus": corpus / corpus.sum(), "pi": np.full(K, 1.0 / K), "A": A, "B": B,
+        "base": np.concatenate([log - floor, np.full(BUCKETS, np.log10(0.5) - floor), [np.log10(texts + 0.5) - floor]]),
+        "within": np.concatenate([np.where(np.arange(size) < own, 0.0, log - inside[buckets]), np.log10(0.5) - inside, [0.0]]),
         "known": np.concatenate([np.ones(size), np.zeros(BUCKETS), [float(texts > 0)]]),
     }
+    return model, rare
+
+
+def encoded(rows: DataFrame, model: dict) -> DataFrame:
+    """The stored table of codes of all rows of keyed() with a column held_out."""
+    return shared_table(rows.select(ROW, ID, "held_out", TEXT).mapInArrow(_encode(Shared(rows.sparkSession, model)), CODED))
+
+
+def baum_welch(coded: DataFrame, model: dict, config: HmmConfig = HmmConfig()) -> dict:
+    """The model after the config's rounds over the rows that aren't held out."""
+    K, classes = config.states, model["B"].shape[1]
+    train = coded.where(~F.col("held_out")).select("classes")
     schema = ", ".join(["class long", *(f"s{k} double" for k in range(K))])
-    for _ in range(config.rounds if texts else 0):
-        shared = Shared(spark, model)
-        sums_by_class = train.select(TEXT).mapInArrow(_expect(shared), schema).groupBy("class").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(K))).toPandas()
-        found = {int(r[0]): np.array(r[1:], dtype=float) for r in sums_by_class.itertuples(index=False)}
+    for _ in range(config.rounds):
+        shared = Shared(coded.sparkSession, (model["pi"], model["A"], model["B"]))
+        sums = train.mapInArrow(_expect(shared), schema).groupBy("class").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(K))).toPandas()
+        found = {int(r[0]): np.array(r[1:], dtype=float) for r in sums.itertuples(index=False)}
+        if not sum(v.sum() for v in found.values()):
+            break  # no training rows
         gone = np.zeros((K, classes))
         for c, v in found.items():
             if c >= 0:
                 gone[:, c] = v
-        B = gone + config.prior * corpus / corpus.sum()
+        B = gone + config.prior * model["corpus"]
         A = np.stack([found[-2 - k] for k in range(K)]) + 0.1
         pi = found[-1] + 0.1
         model = model | {"pi": pi / pi.sum(), "A": A / A.sum(1, keepdims=True), "B": B / B.sum(1, keepdims=True)}
-    return model, rare
+    return model
+
+
+def score(coded: DataFrame, model: dict, rare: DataFrame) -> DataFrame:
+    """log10 probabilities of all rows, by the words' base model and by the model.
+
+    A word outside the head counts as unseen (log10 of 0.5) where it is split; those that training has are joined and mended.
+    """
+    shared = Shared(coded.sparkSession, (model["pi"], model["A"], model["B"]))
+    texts = coded.select(*OWN, "within_part", "classes").mapInArrow(_score(shared), SCORED)
+    words = coded.select(ROW, F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("tf").alias("tf"))).alias("w")).select(ROW, "w.word", "w.tf")
+    more = F.col("tf") * F.log10((F.col("n") + 0.5) / 0.5)
+    met = words.join(rare, "word").select(ROW, F.lit(None).cast("long").alias(ID), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), F.col("tf").alias("n_known"), more.alias("base_part"), more.alias("model_part"))
+    sums = [F.sum(c).alias(n) for c, n in (("n_tokens", "n_tokens"), ("n_known", "n_known"), ("base_part", "base_score"), ("model_part", "score"))]
+    grouped = texts.unionByName(met).groupBy(ROW).agg(F.max(ID).alias("doc_id"), F.max("held_out").alias("held_out"), *sums)
+    return grouped.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["train_tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score(docs: DataFrame, model: dict, rare: DataFrame) -> DataFrame:
-    """log10 probabilities of all rows of keyed() with a column held_out, by the words' base model and by the model."""
-    shared = Shared(docs.sparkSession, model)
-    parts = docs.select(ROW, ID, "held_out", TEXT).mapInArrow(_score(shared), SCORED)
-    known = F.coalesce(F.col("n"), F.lit(0))
-    more = F.col("tf") * F.log10(known + 0.5)
-    return (
-        parts.join(rare, "word", "left")
-        .groupBy(ROW)
-        .agg(F.max(ID).alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(known > 0, F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("base_part") + more).alias("base_score"), F.sum(F.col("model_part") + more).alias("score"))
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["train_tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+def fit(rows: DataFrame, config: HmmConfig = HmmConfig()) -> tuple[dict, DataFrame, DataFrame]:
+    """(model, rare, coded) of the rows of keyed() with a column held_out; the model is trained on those that aren't."""
+    model, rare = start(rows.where(~F.col("held_out")), config)
+    coded = encoded(rows, model)
+    return baum_welch(coded, model, config), rare, coded
 
 
 def language_model_scores(docs: DataFrame, config: HmmConfig = HmmConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the rows that aren't held out and score all."""
-    rows = keyed(docs, id_col, text_col).withColumn("held_out", remainder(ID, 5) == 1)
-    model, rare = fit(rows.where(~F.col("held_out")), config)
-    return score(rows, model, rare)
+    model, rare, coded = fit(keyed(docs, id_col, text_col).withColumn("held_out", remainder(ID, 5) == 1), config)
+    return score(coded, model, rare)

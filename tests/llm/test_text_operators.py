@@ -75,7 +75,7 @@ def test_language_model_counts_and_base(spark, docs, nothing):
 def test_language_model_is_a_distribution(spark, docs):
     from loomspan.llm.common import keyed
 
-    model, rare = hmm_lm.fit(keyed(docs), hmm_lm.HmmConfig(states=3, own=4, head=8, rounds=1, start_rounds=5))
+    model, rare, _ = hmm_lm.fit(keyed(docs).withColumn("held_out", F.lit(False)), hmm_lm.HmmConfig(states=3, own=4, head=8, rounds=1, start_rounds=5))
     assert np.allclose(model["B"].sum(1), 1) and np.allclose(model["A"].sum(1), 1) and np.isclose(model["pi"].sum(), 1)
     # Within a class the known words and one unknown one sum to 1.
     codes = hmm_lm._codes(model)
@@ -85,32 +85,67 @@ def test_language_model_is_a_distribution(spark, docs):
         mass[table[codes[w]]] += 10 ** within[codes[w]]
     for r in rare.collect():
         code = codes[bytes(r.word)]
-        mass[table[code]] += (r.n + 0.5) * 10 ** within[code]
+        mass[table[code]] += (r.n + 0.5) / 0.5 * 10 ** within[code]  # a word outside the head counts as unseen at first
     for c in range(model["own"], model["own"] + hmm_lm.BUCKETS):
         code = len(model["head"]) + c - model["own"]
-        assert mass[c] + 0.5 * 10 ** within[code] == pytest.approx(1)
-
-
-def test_forward_matches_plain_recursion(monkeypatch):
+        assert mass[c] + 10 ** within[code] == pytest.approx(1)
+
+
+def plain_log10(x, pi, A, B):
+    a, total = pi * B[:, x[0]], 0.0
+    for o in x[1:]:
+        total, a = total + np.log10(a.sum()), (a / a.sum() @ A) * B[:, o]
+    return total + np.log10(a.sum())
+
+
+def plain_expected(x, pi, A, B):
+    """Forward and backward over one whole text, step by step."""
+    n, K = len(x), len(pi)
+    alpha, beta, scale = np.zeros((n, K)), np.ones((n, K)), np.zeros(n)
+    for t in range(n):
+        a = (pi if t == 0 else alpha[t - 1] @ A) * B[:, x[t]]
+        scale[t] = a.sum()
+        alpha[t] = a / scale[t]
+    moves, gone = np.zeros_like(A), np.zeros_like(B)
+    for t in range(n - 2, -1, -1):
+        ahead = B[:, x[t + 1]] * beta[t + 1] / scale[t + 1]
+        beta[t] = A @ ahead
+        moves += A * np.outer(alpha[t], ahead)
+    for t in range(n):
+        gone[:, x[t]] += alpha[t] * beta[t]
+    return alpha[0] * beta[0], moves, gone
+
+
+@pytest.mark.parametrize("long, at_once", [(50_000, 200_000), (16, 200_000), (1000, 7), (7, 3000)])
+def test_recursions_match_plain_ones_over_whole_texts(monkeypatch, long, at_once):
+    """Likelihood and Baum-Welch counts of texts of 1 to 20,000 tokens; however they are grouped or cut, nothing is lost at a border."""
     rng = np.random.default_rng(0)
     pi, A, B = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(7), 3)
-    monkeypatch.setattr(hmm_lm, "SEGMENT", 5)
-    texts = [rng.integers(0, 7, n) for n in (1, 4, 5, 6, 17, 30, 2)]
-
-    def plain(x):
-        a = pi * B[:, x[0]]
-        for o in x[1:]:
-            a = (a @ A) * B[:, o]
-        return np.log10(a.sum())
+    monkeypatch.setattr(hmm_lm, "LONG", long)
+    monkeypatch.setattr(hmm_lm, "TOKENS_AT_ONCE", at_once)
+    texts = [rng.integers(0, 7, n) for n in (1, 4, 15, 16, 17, 33, 2, 5000, 1, 20_000)]
+    assert np.allclose(hmm_lm.log10_likelihood(texts, pi, A, B), [plain_log10(x, pi, A, B) for x in texts])
+    want = [sum(parts) for parts in zip(*(plain_expected(x, pi, A, B) for x in texts), strict=True)]
+    got = hmm_lm.expected(texts, pi, A, B)
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert np.isclose(got[1].sum(), sum(len(x) - 1 for x in texts)) and np.isclose(got[2].sum(), sum(map(len, texts)))
+
+
+def test_language_model_score_is_the_models_probability(docs):
+    """The query's score, text by text: forward over classes plus each word's share of its class."""
+    from loomspan.llm.common import keyed
 
-    assert np.allclose(hmm_lm.log10_likelihood(texts, pi, A, B), [plain(x) for x in texts])
-    whole = hmm_lm.expected(texts, pi, A, B)
-    monkeypatch.setattr(hmm_lm, "LONG", 16)
-    assert np.allclose(hmm_lm.log10_likelihood(texts, pi, A, B), [plain(x) for x in texts])
-    monkeypatch.setattr(hmm_lm, "TOKENS_AT_ONCE", 7)
-    assert all(np.allclose(a, b) for a, b in zip(whole, hmm_lm.expected(texts, pi, A, B), strict=True))
-    starts, moves, gone = hmm_lm.expected(texts, pi, A, B)
-    assert np.isclose(gone.sum(), sum(map(len, texts))) and np.isclose(starts.sum(), len(texts))
+    rows_ = keyed(docs).withColumn("held_out", F.col("__id") == 6)
+    model, rare, coded = hmm_lm.fit(rows_, hmm_lm.HmmConfig(states=3, own=4, head=8, rounds=2, start_rounds=5))
+    known = {bytes(r.word): r.n for r in rare.collect()}
+    codes, table = hmm_lm._codes(model), hmm_lm._class_table(model)
+    want = []
+    for i, t in TEXTS:
+        ws = [w.encode() for w in words(t)]
+        seq = np.array([*map(codes.__getitem__, ws), len(table) - 1])
+        share = sum(model["within"][codes[w]] + (math.log10((known[w] + 0.5) / 0.5) if w in known else 0) for w in ws)
+        want.append((-1 if i is None else i, round(plain_log10(table[seq], model["pi"], model["A"], model["B"]) + share, 6)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 6)) for r in hmm_lm.score(coded, model, rare).collect()) == sorted(want)
 
 
 def test_rounds_raise_the_likelihood(spark, sf):
@@ -119,8 +154,8 @@ def test_rounds_raise_the_likelihood(spark, sf):
     docs = keyed(read(spark, sf, "documents")).withColumn("held_out", F.lit(False))
     totals = []
     for rounds in (0, 1, 2):
-        model, rare = hmm_lm.fit(docs, hmm_lm.HmmConfig(rounds=rounds, prior=1.0))
-        totals.append(hmm_lm.score(docs, model, rare).agg(F.sum("score")).first()[0])
+        model, rare, coded = hmm_lm.fit(docs, hmm_lm.HmmConfig(rounds=rounds, prior=1.0))
+        totals.append(hmm_lm.score(coded, model, rare).agg(F.sum("score")).first()[0])
     assert totals[0] < totals[1] < totals[2]
 
 
