@@ -25,11 +25,28 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(__row, __id, __text) of docs; other columns, whatever their names, are left behind.
 
     __row tells rows apart even when doc_id is null or repeated. It depends on the input's partition and position only,
-    so a lost partition of a file scan that is computed again gets the same keys. A null text is an empty one.
+    so a lost partition of a file scan that is computed again gets the same keys. Where keys made twice must agree, docs
+    must be settled(). A null text is an empty one.
     """
     return docs.select(F.col(id_col).cast("long").alias(ID), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)).withColumn(ROW, F.monotonically_increasing_id())
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, such that what reads it twice meets the same rows in the same order both times, so that row keys made from it agree.
+
+    A scan of files under filters and projections is so by itself. Anything else (a join, a sort, a sample) is stored first.
+    """
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    if not todo[0].deterministic():
+        return shared_table(df)
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split()[0] not in ("Project", "Filter", "Relation", "LogicalRelation", "LocalRelation"):
+            return shared_table(df)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return df
+
+
 def remainder(id_column: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as empty text, so its remainder is 0."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column
@@ -37,8 +54,13 @@ def remainder(id_column: Column | str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset, a folder beside the warehouse's tables."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_loomspan").rstrip("/")
+    """The cluster's spark.checkpoint.dir; where that is unset, a folder beside the warehouse's tables, but in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_loomspan"
+    return folder.rstrip("/")
 
 
 def shared_table(df: DataFrame) -> DataFrame:

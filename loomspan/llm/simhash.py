@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, keyed, shared_table
+from .common import ID, ROW, TEXT, keyed, settled, shared_table
 
 BITS = 64
 NEAR = 4
@@ -194,6 +194,7 @@ def component_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: the one of the smallest doc_id (of rows that repeat it, the first). Columns are kept."""
+    docs = settled(docs)
     groups = near_duplicates(docs, id_col, text_col)
     best = groups.groupBy("root").agg(F.min(F.struct(F.col(ID).isNull().alias("nil"), F.col(ID), F.col(ROW))).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
     return docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias(ROW)).join(best, ROW, "left_semi").select("doc.*")
