@@ -13,7 +13,9 @@ def op1_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings_by_path(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    docs = read(spark, sf_dir, "documents")
+    _, findings = secrets.update_ledger(docs)  # from an empty ledger: each blob is scanned once
+    return secrets.by_path(docs, findings).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,7 @@ WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS
 found AS ({_kind("assign", 0, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")}
 UNION ALL {_kind("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 20")}
 UNION ALL {_kind("hex", 2, "[0-9a-f]+", "length(m) >= 24")}
-UNION ALL {_kind("pem", 3, "-----BEGIN (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY-----", "true")}),
+UNION ALL {_kind("pem", 3, "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:(?:-{0,4}[^-])*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", "true")}),
 by_row AS (
     SELECT row_no, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
         string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, kind_no) FILTER (kind_no < 3) AS base,

@@ -9,8 +9,9 @@ of their lengths give every start. They are summed over exploded rows, linear in
 
 Defined results: a null text is the empty blob and has no findings. Null and repeated doc_ids are rows like any other.
 Overlapping spans of different kinds are all reported; when a text is redacted they are merged first. A private key's
-finding is its BEGIN line, as in the query's SQL; what is redacted is the key: all from BEGIN to its END or, where another
-marker or nothing comes first, the base64 lines that follow (line breaks may be written as \\n, lines quoted or indented).
+finding is all from its BEGIN line to its END line or, where another marker or nothing comes first, the BEGIN line. What
+is redacted of a key without END is that line and the base64 lines that follow (line breaks may be written as \\n, lines
+quoted or indented). Empty tables have no findings. A ledger without its findings is refused.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ID, ROW, TEXT, keyed, shared_table
+from .common import ID, ROW, TEXT, keyed, settled, shared_table
 
-RULE_VERSION = 1
+RULE_VERSION = 2
+REDACT_VERSION = 3
 SALTS = 16  # copies of a blob's findings, so that the paths of one blob meet them in as many tasks
 MARK = "[SECRET]"
 
@@ -36,20 +38,22 @@ class Rule:
     base: bool = True
 
 
+_NAME = r"(?:(?!PRIVATE KEY-----)[A-Z0-9]++ )*+PRIVATE KEY-----"
+_BEGIN = f"-----BEGIN {_NAME}"
+_BREAK = r"(?:[\s>\"'+,]|\\[nrt])"
+#: Possessive loops: they neither recurse nor go back, so the length of a key or of a text without END costs no stack and no second pass.
+_TO_END = rf"(?:(?!-----)[\s\S])*+-----END {_NAME}"
+_LINES = rf"(?:{_BREAK}*+(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]++)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{16}})(?:[ \t\"'+,]*+(?:\r?\n|(?:\\r)?\\n)[ \t>\"'+]*+[A-Za-z0-9+/]++={{0,2}}+(?=[ \t\"',;]*+(?:[\r\n\\]|\z))|[ \t]++[A-Za-z0-9+/]++={{1,2}}+))?+"
+
 #: In the order in which kinds at the same start are listed. A run of letters is matched whole, so the two patterns with {n,} find what + and a later filter find.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
-    Rule("pem", r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY-----", 0, 0, False),
+    Rule("pem", rf"{_BEGIN}(?:{_TO_END})?", 0, 0, False),
 )
-
-_BREAK = r"(?:[\s>\"'+,]|\\[nrt])"
-#: Possessive loops: they neither recurse nor go back, so the length of a key or of a text without END costs no stack and no second pass.
-_TO_END = r"(?:(?!-----)[\s\S])*+-----END (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY-----"
-_LINES = rf"(?:{_BREAK}*+(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]++)*+(?:{_BREAK}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{16}})(?:[ \t\"'+,]*+(?:\r?\n|(?:\\r)?\\n)[ \t>\"'+]*+[A-Za-z0-9+/]++={{0,2}}+(?=[ \t\"',;]*+(?:[\r\n\\]|\z))|[ \t]++[A-Za-z0-9+/]++={{1,2}}+))?+"
-#: What is cut out of texts: the rules, with whole private keys.
-REDACTED = tuple(Rule(r.kind, f"{r.pattern}(?:{_TO_END}|{_LINES})", r.least, r.group, r.base) if r.kind == "pem" else r for r in RULES)
+#: What is cut out of texts: the rules, and of a key without END also the lines after BEGIN.
+REDACTED = tuple(Rule(r.kind, f"{_BEGIN}(?:{_TO_END}|{_LINES})", r.least, r.group, r.base) if r.kind == "pem" else r for r in RULES)
 
 
 def blobs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,12 +86,21 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def unseen(rows: DataFrame, ledger: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """(blob, __text), once for each blob of rows whose pair with the rule version isn't in the ledger (blob, rule_version)."""
+    """(blob, __row, paths), once for each blob of rows whose pair with the rule version isn't in the ledger (blob, rule_version)."""
     first = rows.groupBy("blob").agg(F.min(ROW).alias(ROW), F.count("*").alias("paths"))
     if ledger is not None:
         first = first.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    return first
+
+
+def scan_unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], rule_version: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What a scan of docs adds to the ledger (blob, rule_version) and to the findings (blob, rule_version, kind, start, end), both stored."""
+    rows = keyed(settled(docs), id_col, text_col)
+    first = shared_table(unseen(rows.withColumn("blob", F.sha2(F.col(TEXT).cast("binary"), 256)), ledger, rule_version))
     # The text depends on the other side of the join; else the optimizer would run the patterns on all rows, before it.
-    return rows.select(ROW, "blob", TEXT).join(first.select(ROW, "paths"), ROW).select("blob", F.when(F.col("paths") > 0, F.col(TEXT)).alias(TEXT))
+    texts = rows.select(ROW, TEXT).join(first, ROW).select("blob", F.when(F.col("paths") > 0, F.col(TEXT)).alias(TEXT))
+    version = F.lit(rule_version).alias("rule_version")
+    return first.select("blob", version), shared_table(scan(texts, rules).select("blob", version, "kind", "start", "end"))
 
 
 def _salted(by_blob: DataFrame) -> DataFrame:
@@ -95,14 +108,33 @@ def _salted(by_blob: DataFrame) -> DataFrame:
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The ledger (blob, rule_version) and findings (blob, rule_version, kind, start, end) after a scan of what is new in docs."""
-    rows = blobs(docs, id_col, text_col)
-    version = F.lit(rule_version).alias("rule_version")
-    scanned = rows.select("blob", version).distinct()
-    if ledger is not None:
-        scanned = ledger.select("blob", "rule_version").unionByName(scanned).distinct()
-    new = scan(unseen(rows, ledger, rule_version), rules).select("blob", version, "kind", "start", "end")
-    return shared_table(scanned), shared_table(new if findings is None else findings.unionByName(new))
+    """The ledger (blob, rule_version) and findings (blob, rule_version, kind, start, end) after a scan of what is new in docs.
+
+    What is new is stored until the application ends; `update_ledger_at` keeps both for good.
+    """
+    if (ledger is None) != (findings is None):
+        raise ValueError("a ledger and its findings go together")
+    seen, found = scan_unseen(docs, ledger, rules, rule_version, id_col, text_col)
+    return (seen, found) if ledger is None else (ledger.unionByName(seen), findings.unionByName(found))
+
+
+def update_ledger_at(docs: DataFrame, folder: str, **options) -> tuple[DataFrame, DataFrame]:
+    """The ledger and findings kept in a folder, after a scan of what is new in docs.
+
+    Findings are appended before their ledger entries. If the application dies in between, the next scan appends
+    the same findings again, so they are read without repetition.
+    """
+    spark = docs.sparkSession
+    pair = "blob string, rule_version int"
+    schemas = {"ledger": pair, "findings": f"{pair}, kind int, start long, end long"}
+    hadoop, path = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = {n: path(f"{folder}/{n}").getFileSystem(hadoop).exists(path(f"{folder}/{n}")) for n in schemas}
+    stored = lambda n: spark.read.schema(schemas[n]).parquet(f"{folder}/{n}").distinct()
+    options = {"rules": RULES, "rule_version": RULE_VERSION} | options
+    seen, found = scan_unseen(docs, stored("ledger") if there["ledger"] else None, **options)
+    found.write.mode("append").parquet(f"{folder}/findings")
+    seen.write.mode("append").parquet(f"{folder}/ledger")
+    return stored("ledger"), stored("findings")
 
 
 def _per_blob(found: DataFrame, rules) -> DataFrame:
@@ -116,22 +148,30 @@ def _per_blob(found: DataFrame, rules) -> DataFrame:
     return grouped.withColumn("spans", text(F.col("all"))).withColumn("base", text(F.filter("all", lambda s: F.array_contains(base, s["kind"]))))
 
 
-def findings_by_path(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, findings: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans: a row for every row of docs."""
+def by_path(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, rule_version: int = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, counts by kind, base_sha256, spans: stored findings joined to every row of docs; nothing is scanned."""
+    found = findings.where(F.col("rule_version") == rule_version).select("blob", "kind", "start", "end")
     rows = blobs(docs, id_col, text_col)
-    found = scan(unseen(rows, ledger, rule_version), rules)
-    if findings is not None:
-        found = found.unionByName(findings.where(F.col("rule_version") == rule_version).select("blob", "kind", "start", "end"))
     joined = rows.select(ID, "blob", F.pmod(ROW, F.lit(SALTS)).cast("int").alias("salt")).join(_salted(_per_blob(found, rules)), ["blob", "salt"], "left")
     none = F.lit("")
     return joined.select(F.col(ID).alias("doc_id"), *(F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in rules), F.sha2(F.coalesce("base", none).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", none).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with every found span of the text replaced by a mark (and the count of characters mended where a text changed)."""
+def findings_by_path(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, findings: DataFrame | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
+    """The rows of by_path after a scan of the blobs that the ledger (none: an empty one) doesn't hold."""
+    _, found = update_ledger(docs, ledger, findings, rules, rule_version, id_col, text_col)
+    return by_path(docs, found, rules, rule_version, id_col, text_col)
+
+
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, text_col: str = "text", chars_col: str | None = "n_chars", ledger: DataFrame | None = None, findings: DataFrame | None = None, rule_version: int = REDACT_VERSION, id_col: str = "doc_id") -> DataFrame:
+    """docs with every found span of the text replaced by a mark (and the count of characters mended where a text changed).
+
+    A ledger and findings given belong to the rules given; only blobs that they don't hold are scanned.
+    """
     names = docs.columns
-    rows = docs.select(F.struct("*").alias("doc")).withColumn(TEXT, F.coalesce(F.col("doc")[text_col], F.lit(""))).withColumn("blob", F.sha2(F.col(TEXT).cast("binary"), 256)).withColumn(ROW, F.monotonically_increasing_id())
-    found = scan(unseen(rows.select(ROW, "blob", TEXT)), rules)
+    _, found = update_ledger(docs, ledger, findings, rules, rule_version, id_col, text_col)
+    found = found.where(F.col("rule_version") == rule_version)
+    rows = docs.select(F.struct("*").alias("doc")).withColumn("blob", F.sha2(F.coalesce(F.col("doc")[text_col], F.lit("")).cast("binary"), 256)).withColumn(ROW, F.monotonically_increasing_id())
     order = Window.partitionBy("blob").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).over(order)
