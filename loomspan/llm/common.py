@@ -107,3 +107,7 @@ class Shared:
     @property
     def value(self):
         return cloudpickle.loads(self.data.value)
+
+    def forget(self):
+        """Drops this process's copy of the data; it is loaded again when it is asked for."""
+        self.data.__dict__.pop("_value", None)

@@ -314,13 +314,55 @@ def test_decontamination_matches_plain_search(spark, docs, nothing, block):
     assert all(not r.contaminated for r in decontaminate.contamination_report(docs, bench.where("false")).collect())
 
 
+def chains(text, phrase, slop):
+    """Places where the phrase's words stand in order, by plain search."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    ws, ps = split(text), split(phrase)
+
+    def goes_on(at, k):
+        return k == len(ps) or any(goes_on(q, k + 1) for q in range(at + 1, min(len(ws), at + 2 + slop)) if ws[q] == ps[k])
+
+    return [i for i, w in enumerate(ws) if ps and w == ps[0] and goes_on(i, 1)]
+
+
 def test_stored_index_answers_phrases_and_proximity(docs):
-    index = shared_table(decontaminate.positional_index(docs))
-    assert {r.doc_id for r in decontaminate.search(index, "brown fox jumps").collect()} == {1, 5}
-    assert decontaminate.search(index, "quick fox").collect() == []
-    assert {r.doc_id for r in decontaminate.search(index, "quick fox", slop=1).collect()} == {1, 5}
-    assert decontaminate.search(index, "no such words").collect() == [] and decontaminate.search(index, "").collect() == []
-    assert decontaminate.search(index, "the end of a very long text").count() == 1
+    index = decontaminate.positional_index(docs)
+    for phrase in ("brown fox jumps", "quick fox", "no such words", "", "the end of a very long text", "ab ab the", "The dog away here", "fox the fox"):
+        for slop in (0, 1, 3):
+            want = Counter((i, p) for i, t in TEXTS for p in chains(t, phrase, slop))
+            assert Counter((r.doc_id, r.start) for r in decontaminate.search(index, phrase, slop).collect()) == want, (phrase, slop)
+
+
+def test_matches_of_an_index_that_is_kept(spark, docs):
+    """One index answers several sets of tests; its texts aren't read again."""
+    index = decontaminate.positional_index(docs)
+    for part in (BENCH[:1], BENCH[1:4], BENCH):
+        found = decontaminate.matches(index, spark.createDataFrame(part, "item_id string, text string"), block=8)
+        have = sorted((-1 if r["__id"] is None else r["__id"], r.n_words, sum(e - s for s, e in zip(r.starts, r.ends, strict=True))) for r in found.collect())
+        assert have == sorted((-1 if i is None else i, *contamination(t, part)[:2]) for i, t in TEXTS)
+
+
+def test_intersections_of_few_words_stay_small():
+    """Many windows over two words meet nearly everywhere in a text of as few: candidates are sliced, so memory is bounded."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    text = b" ".join(np.array([b"a", b"b"])[rng.integers(0, 2, 400_000)].tolist())
+    item = b" ".join(np.array([b"a", b"b"])[rng.integers(0, 2, 40_000)].tolist())
+    windows = decontaminate.Windows([("x", item)])
+    words_ = decontaminate.words_of(text)
+    flat = np.array([w == b"b" for w in words_], dtype=np.int64)
+    order = np.argsort(flat, kind="stable")
+    shard = decontaminate.Postings([b"a", b"b"], np.bincount(flat), order, np.array([len(flat)]))
+    reach = np.zeros(shard.total, dtype=np.int64)
+    some = decontaminate.Windows([("x", b" ".join(item.split()[:60]))])
+    tracemalloc.start()
+    found = some.hits(shard, reach)
+    assert tracemalloc.get_traced_memory()[1] < 2**28
+    tracemalloc.stop()
+    grams = {tuple(item.split()[i : i + 10]) for i in range(51)}
+    want = np.array([tuple(words_[i : i + 10]) in grams for i in range(len(words_))])
+    assert np.array_equal(reach > 0, np.append(want, False)) and len(found) == len(some.table) and len(windows.table) > 1000
 
 
 # op4
