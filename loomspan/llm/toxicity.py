@@ -1,15 +1,18 @@
 """Toxicity by cumulative-link ordinal regression.
 
-P(grade > k) = sigmoid(w . x - threshold k): all thresholds share the weights w over sparse text features. A feature is a
-word, or a word's beginning of 4 to 7 letters, that occurs at least once, twice or four times. Features are chosen on
-the fitted sample by the significance of their association with the grade, so all other weights are exactly zero
-and a long clean text gathers no noise. Weights and thresholds are found by Newton's method with a ridge penalty.
+P(grade > k) = sigmoid(w . x - threshold k): all thresholds share the weights w over sparse text features, and a row of
+grade k has the likelihood P(grade > k - 1) - P(grade > k). The negative logarithm of it is convex in weights and ordered
+thresholds, so Newton's method with a ridge penalty finds its one minimum; a step that would let thresholds meet is
+shortened. A feature is a word, or a word's beginning of 4 to 7 letters, that occurs at least once, twice or four times.
+All features of the fitted sample are counted; of those whose share among the rows above grade 0 exceeds that among the
+others by OrdinalConfig.least_z standard errors and which OrdinalConfig.least_documents of them hold, the OrdinalConfig.features
+most significant are used. All other weights are exactly zero, so a long clean text gathers no noise.
 
-`labels` marks documents 0 or 1 only. The query splits the 1s at the median number of telling features they hold, so
-grade 1 is mild and grade 2 severe. Any other grades can be given to fit.
+The query's grades are the marks that `labels` has, 0 and 1, so it has one threshold. Any others can be given, severities
+from 0 to n for instance; a grade that no row has gets the threshold of the next one that some row has.
 
 Defined results: a null or empty text holds no features: its severity is that of the thresholds alone. Label rows with
-a null doc_id or label are left out; copies of a text with the same label count once. Without toxic labels all texts
+a null doc_id or grade are left out; copies of a text with the same grade count once. Without grades above 0 all texts
 have a severity of about 0.
 """
 
@@ -98,56 +101,78 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(z - np.array(self.thresholds), -40, 40)))
 
 
+def likelihood_loss(x: np.ndarray, grades: np.ndarray, w: np.ndarray, t: np.ndarray) -> float:
+    """The negative log-likelihood. F(u) - F(l) is F(u) (1 - F(l)) (1 - exp(l - u)), which loses no digits."""
+    gap = np.diff(t)
+    if (gap <= 0).any():
+        return np.inf
+    z, top = x @ w, len(t)
+    low, high = grades > 0, grades < top
+    middle = np.bincount(grades[low & high], minlength=top)[1:top]
+    return float(np.logaddexp(0, z[high] - t[grades[high]]).sum() + np.logaddexp(0, t[grades[low] - 1] - z[low]).sum() - (middle * np.log(-np.expm1(-gap))).sum())
+
+
 def fit(features: list[list[str]], grades: np.ndarray, config: OrdinalConfig = OrdinalConfig()) -> OrdinalModel:
-    """Least sum over thresholds of the logistic losses of grade > k, by Newton steps."""
-    top = int(grades.max()) if len(grades) else 0
-    if not top:
-        return OrdinalModel(dict.fromkeys({f for x in features for f in x}, 0.0), [40.0])
-    index = {f: i for i, f in enumerate(sorted({f for x in features for f in x}))}
+    """The weights and thresholds of the largest penalised cumulative-link likelihood, by Newton steps."""
+    names = sorted({f for x in features for f in x})
+    levels = np.unique(np.append(grades, 0))  # grade 0 is always there
+    if len(levels) < 2:
+        return OrdinalModel(dict.fromkeys(names, 0.0), [40.0])
+    grade, top = np.searchsorted(levels, grades), len(levels) - 1
+    index = {f: i for i, f in enumerate(names)}
     m, n = len(index), len(features)
     x = np.zeros((n, m))
     for i, found in enumerate(features):
         x[i, [index[f] for f in found]] = 1
-    above = (grades[:, None] > np.arange(top)).astype(float)
-    rate = above.mean(0).clip(1e-4, 1 - 1e-4)
-    at = np.concatenate([np.zeros(m), np.log((1 - rate) / rate)])
+    above = np.array([(grade > k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
+    at = np.concatenate([np.zeros(m), np.log((1 - above) / above) + 1e-3 * np.arange(top)])
     penalty = np.concatenate([np.full(m, config.ridge), np.full(top, 1e-3)])
-
-    def loss(v):
-        z = (x @ v[:m])[:, None] - v[m:]
-        return (np.logaddexp(0, z) - above * z).sum() + (penalty * v * v).sum() / 2
-
+    loss = lambda v: likelihood_loss(x, grade, v[:m], v[m:]) + (penalty * v * v).sum() / 2
+    upper, lower = grade < top, grade > 0
+    middle = np.bincount(grade[upper & lower], minlength=top)[1:top]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     now = loss(at)
     for _ in range(config.rounds):
-        p = 1 / (1 + np.exp(-np.clip((x @ at[:m])[:, None] - at[m:], -40, 40)))
-        g, h = p - above, p * (1 - p)
-        grad = np.concatenate([x.T @ g.sum(1), -g.sum(0)]) + penalty * at
+        z, t = x @ at[:m], at[m:]
+        a, b = np.zeros(n), np.zeros(n)
+        a[upper] = sigmoid(z[upper] - t[grade[upper]])
+        b[lower] = sigmoid(t[grade[lower] - 1] - z[lower])
+        ha, hb, ratio = a * (1 - a), b * (1 - b), 1 / np.expm1(np.diff(t))
+        at_upper, at_lower = (np.zeros((n, top)) for _ in range(2))
+        at_upper[upper, grade[upper]] = 1
+        at_lower[lower, grade[lower] - 1] = 1
+        pull = middle * ratio
+        grad = np.concatenate([x.T @ (a - b), at_lower.T @ b - at_upper.T @ a + np.append(pull, 0) - np.append(0, pull)]) + penalty * at
         hess = np.diag(penalty)
-        hess[:m, :m] += x.T @ (x * h.sum(1)[:, None])
-        cross = -(x.T @ h)
+        hess[:m, :m] += x.T @ (x * (ha + hb)[:, None])
+        cross = -(x.T @ (at_upper * ha[:, None] + at_lower * hb[:, None]))
         hess[:m, m:] += cross
         hess[m:, :m] += cross.T
-        hess[m:, m:] += np.diag(h.sum(0))
+        bend = middle * ratio * (1 + ratio)
+        hess[m:, m:] += np.diag(at_upper.T @ ha + at_lower.T @ hb + np.append(bend, 0) + np.append(0, bend)) - np.diag(bend, 1) - np.diag(bend, -1)
         step, size = np.linalg.solve(hess, grad), 1.0
-        while (new := loss(at - size * step)) > now and size > 1e-4:
+        while (new := loss(at - size * step)) > now and size > 1e-6:
             size /= 2
+        if not new < now:
+            break
         at, gain, now = at - size * step, now - new, new
-        if gain < 1e-6:
+        if gain < 1e-9 * (1 + abs(now)):
             break
-    return OrdinalModel({f: float(at[i]) for f, i in index.items()}, np.maximum.accumulate(at[m:]).tolist())
+    thresholds = at[m:][np.searchsorted(levels, np.arange(levels[-1]), side="right") - 1]
+    return OrdinalModel({f: float(at[i]) for f, i in index.items()}, thresholds.tolist())
 
 
-def telling(counts: pd.DataFrame, yes: int, no: int, config: OrdinalConfig = OrdinalConfig()) -> list[str]:
-    """Features (rows feature, yes, no) whose share among the yes rows exceeds that among the others by least_z standard errors or more."""
-    both = (counts.yes + counts.no + 1) / (yes + no + 2)
-    z = (counts.yes / max(yes, 1) - counts.no / max(no, 1)) / np.sqrt(both * (1 - both) * (1 / max(yes, 1) + 1 / max(no, 1)))
-    chosen = counts.assign(z=-z)[(z >= config.least_z) & (counts.yes >= config.least_documents)]
-    return chosen.sort_values(["z", "feature"]).feature.head(config.features).tolist()
+def telling(counts: DataFrame, yes: int, no: int, config: OrdinalConfig = OrdinalConfig()) -> list[str]:
+    """The most significant features (rows feature, yes, no): see above. Their shares are compared in the cluster, for all features."""
+    both = (F.col("yes") + F.col("no") + 1) / F.lit(yes + no + 2)
+    z = (F.col("yes") / F.lit(max(yes, 1)) - F.col("no") / F.lit(max(no, 1))) / F.sqrt(both * (1 - both) * F.lit(1 / max(yes, 1) + 1 / max(no, 1)))
+    chosen = counts.withColumn("z", z).where((F.col("z") >= config.least_z) & (F.col("yes") >= config.least_documents))
+    return [r[0] for r in chosen.orderBy(F.desc("z"), "feature").select("feature").limit(config.features).collect()]
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), label_col: str = "toxic") -> OrdinalModel:
-    """Fitted on a bounded sample of labelled rows: features are counted and chosen first, and only chosen ones leave the executors."""
-    rows = shared_table(labelled_sample(docs, labels, label_col, config.sample).dropDuplicates([TEXT, "label"]))
+def fit_on(docs: DataFrame, grades: DataFrame, config: OrdinalConfig = OrdinalConfig(), grade_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    """Fitted on a bounded sample of graded rows: features are counted and chosen first, and only chosen ones leave the executors."""
+    rows = shared_table(labelled_sample(docs, grades, grade_col, config.sample, None, id_col, text_col).dropDuplicates([TEXT, "label"]))
     sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     yes, no = sum(n for y, n in sizes.items() if y > 0), sum(n for y, n in sizes.items() if y <= 0)
 
@@ -159,10 +184,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalCo
         for side, found in enumerate(seen):
             yield pd.DataFrame({"feature": list(found.keys()), "side": side, "n": list(found.values())})
 
-    counted = rows.select(TEXT, "label").mapInPandas(count, "feature string, side int, n long").groupBy("feature").agg(F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("no"))
-    # Twice as often among the yes rows as among all: a bounded table, as each of these features takes its share of few rows.
-    counted = counted.where((F.col("yes") >= config.least_documents) & (F.col("yes") * (no + 1) > 2 * F.col("no") * yes))
-    chosen = telling(counted.orderBy(F.desc(F.col("yes") - F.col("no") * yes / (no + 1)), "feature").limit(20 * config.features).toPandas(), yes, no, config) if yes and no else []
+    on = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
+    counted = rows.select(TEXT, "label").mapInPandas(count, "feature string, side int, n long").groupBy("feature").agg(on(1).alias("yes"), on(0).alias("no"))
+    chosen = telling(counted, yes, no, config) if yes and no else []
 
     def extract(batches):
         find = Extractor(chosen)
@@ -170,9 +194,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalCo
             yield pd.DataFrame({"found": [find(t) for t in frame[TEXT]], "label": frame["label"]})
 
     found = sorted((tuple(r[0]), r[1]) for r in rows.select(TEXT, "label").mapInPandas(extract, "found array<string>, label int").limit(config.sample).toPandas().itertuples(index=False))
-    held, toxic = np.array([len(f) for f, _ in found]), np.array([y for _, y in found], dtype=np.int64) > 0
-    grades = np.where(toxic, 1 + (held > (np.median(held[toxic]) if toxic.any() else 0)), 0).astype(np.int64)
-    return fit([list(f) for f, _ in found], grades, config)
+    return fit([list(f) for f, _ in found], np.array([max(0, y) for _, y in found], dtype=np.int64), config)
 
 
 def severity_udf(model: OrdinalModel):
@@ -185,12 +207,14 @@ def severity_udf(model: OrdinalModel):
     return series_udf(run, "severity double, toxic double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic") -> DataFrame:
     """doc_id, expected_severity (sum over k of P(grade > k)), p_toxic, toxic (p_toxic from the config's bound on) of every row."""
-    rows = keyed(docs, id_col, text_col).select(F.col(ID).alias("doc_id"), severity_udf(fit_on(docs, labels, config))(TEXT).alias("s"))
+    model = fit_on(docs, labels, config, grade_col, id_col, text_col)
+    rows = keyed(docs, id_col, text_col).select(F.col(ID).alias("doc_id"), severity_udf(model)(TEXT).alias("s"))
     return rows.select("doc_id", F.col("s.severity").alias("expected_severity"), F.col("s.toxic").alias("p_toxic"), (F.col("s.toxic") >= config.reject).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, config: OrdinalConfig = OrdinalConfig(), id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic") -> DataFrame:
     """docs without the rows that the model rejects; columns are kept."""
-    return docs.where(severity_udf(fit_on(docs, labels, config))(F.col(text_col))["toxic"] < config.reject)
+    model = fit_on(docs, labels, config, grade_col, id_col, text_col)
+    return docs.where(severity_udf(model)(F.col(text_col))["toxic"] < config.reject)
