@@ -11,10 +11,14 @@ Defined results: a null or empty text is its end token alone, one piece. Null an
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,11 +30,14 @@ from pyspark.sql import functions as F
 from .common import ID, ROW, TEXT, Shared, keyed, series_udf, shared_table, tokenizer_path, worker_cache
 
 END = 2
-RANKS = "byte_bpe_50k.tiktoken"
-SPECIAL = ("<|endoftext|>", 50256)
-_BLANK = "\t-\r \x85\xa0  -     　"
-#: No pre-token of the vocabulary's pattern starts inside a word after a blank that it doesn't hold, so blanks with what follows them are encoded alone.
-CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+MODEL = "byte_bpe_50k.json"
+SPECIAL = "<|endoftext|>"
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No pre-token of the vocabulary's pattern starts inside a word after a blank that it doesn't hold, nor goes on from a letter or
+#: digit to a stop, so these pieces are encoded alone. Each is encoded once as long as a worker remembers it.
+CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}.,;:!?]*[A-Za-z0-9À-ÖØ-öø-ÿ](?=[.,;:!?])|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+CHARS_AT_ONCE = 2_000_000
+REMEMBERED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +48,7 @@ class Bins:
     documents: int = 1024
     attention: int = 1024 * 1024
     select: str = "norm"
-    weights: tuple[float, float, float] = (1.0, 1e-3, 1e-3)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
 
 
 def pack_histogram(counts: dict[int, int], bins: Bins = Bins()) -> tuple[np.ndarray, int]:
@@ -101,34 +108,52 @@ def pack_histogram(counts: dict[int, int], bins: Bins = Bins()) -> tuple[np.ndar
 def _encoder():
     cache = worker_cache()
     if "bpe" not in cache:
-        import base64
+        from tokenizers import Tokenizer
 
-        import public_tokenizers
-        import tiktoken
-
-        with open(tokenizer_path(RANKS), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("loomspan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict([SPECIAL]))
-
-        class Memo(dict):
-            def __missing__(self, chunk):
-                out = np.array(encoding.encode_ordinary(chunk), dtype="<u4").tobytes()
-                if len(chunk) < 64:
-                    if len(self) > 400_000:
-                        self.clear()
-                    self[chunk] = out
-                return out
-
-        cache["bpe"] = encoding, Memo()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        cache["bpe"] = Tokenizer.from_file(tokenizer_path(MODEL)), {}
     return cache["bpe"]
 
 
-def encode(text: str) -> bytes:
-    """The text's ids as little-endian 32-bit numbers, special strings as their tokens."""
-    encoding, memo = _encoder()
-    if SPECIAL[0] in text:
-        return np.array(encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
-    return b"".join(map(memo.__getitem__, CHUNK.findall(text)))
+def _pieces(texts: list[str]) -> list[bytes]:
+    """The ids of each text, whose pieces are remembered."""
+    tokenizer, known = _encoder()
+    pieces = [CHUNK.findall(t) for t in texts]
+    new = list({p for found in pieces for p in found if p not in known})
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = list({p for found in pieces for p in found})
+    for s in range(0, len(new), 10_000):
+        part = new[s : s + 10_000]
+        known.update(zip(part, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+    return [b"".join(map(known.__getitem__, found)) for found in pieces]
+
+
+def _long(text: str) -> bytes:
+    """The ids of a very long text, of which a bounded number of pieces is held at a time."""
+    out, found = [], CHUNK.finditer(text)
+    while part := [m[0] for m in islice(found, 100_000)]:
+        out += _pieces(["".join(part)])
+    return b"".join(out)
+
+
+def encode_all(texts: list[str]) -> Iterator[bytes]:
+    """The texts' ids as little-endian unsigned 32-bit numbers; special strings are their tokens, as the library has it by default."""
+    group, chars = [], 0
+    for t in texts:
+        special, long = SPECIAL in t, len(t) > CHARS_AT_ONCE
+        if group and (special or long or chars + len(t) > CHARS_AT_ONCE):
+            yield from _pieces(group)
+            group, chars = [], 0
+        if special:
+            yield array("I", _encoder()[0].encode(t, add_special_tokens=False).ids).tobytes()
+        elif long:
+            yield _long(t)
+        else:
+            group.append(t)
+            chars += len(t)
+    if group:
+        yield from _pieces(group)
 
 
 def cuts(total: int, most: int) -> list[tuple[int, int]]:
@@ -146,8 +171,8 @@ def _cut(most):
         tail = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             out = [[] for _ in range(7)]
-            for row, i, text in zip(batch.column(ROW).to_pylist(), batch.column(ID).to_pylist(), batch.column(TEXT).to_pylist(), strict=True):
-                ids = encode(text) + tail
+            for row, i, found in zip(batch.column(ROW).to_pylist(), batch.column(ID).to_pylist(), encode_all(batch.column(TEXT).to_pylist()), strict=True):
+                ids = found + tail
                 for p, (start, length) in enumerate(cuts(len(ids) // 4, most)):
                     for x, v in zip(out, (seen[length], row, i, p, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
                         x.append(v)

@@ -459,7 +459,13 @@ def test_quality_edges(spark, docs, nothing):
     assert len(toxicity.toxicity(docs, labels).collect()) == len(TEXTS)
     assert toxicity.toxicity(nothing, labels).collect() == []
     assert not any(r.toxic for r in toxicity.toxicity(docs, labels.where("toxic = 0")).collect())
-    assert toxicity.drop_toxic(docs, labels.where("false")).columns == docs.columns
+    kept = toxicity.drop_toxic(docs, labels.where("false"))
+    assert kept.columns == docs.columns and kept.count() == len(TEXTS) and toxicity.drop_toxic(nothing, labels).count() == 0
+    # Copies of a text with one grade count once; rows without an id or a grade not at all.
+    toxic = {r.doc_id: r for r in toxicity.toxicity(docs, labels.unionByName(labels), toxicity.OrdinalConfig(least_documents=1, least_z=0.5)).collect()}
+    again = {r.doc_id: r for r in toxicity.toxicity(docs, labels, toxicity.OrdinalConfig(least_documents=1, least_z=0.5)).collect()}
+    assert all(toxic[i].expected_severity == pytest.approx(again[i].expected_severity) for i in toxic)
+    assert again[5].p_toxic > 2 * again[6].p_toxic and again[2].expected_severity == again[3].expected_severity == again[4].expected_severity
 
 
 def test_toxicity_finds_labelled_documents(spark, sf):
@@ -467,20 +473,48 @@ def test_toxicity_finds_labelled_documents(spark, sf):
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     half = labels.where("doc_id % 2 = 0")
     got = toxicity.toxicity(docs, half).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "label"), "doc_id").toPandas()
-    assert got.toxic[got.label == 1].mean() > 0.85 and got.toxic[got.label == 0].mean() < 0.01
+    assert got.toxic[got.label == 1].mean() > 0.88 and got.toxic[got.label == 0].mean() < 0.01
     assert got.expected_severity[got.label == 1].mean() > got.expected_severity[got.label == 0].mean() + 0.8
+    assert (got.expected_severity - got.p_toxic).abs().max() < 1e-12  # one threshold
 
 
-def test_ordinal_thresholds_share_weights():
+@pytest.mark.parametrize("top", [1, 2, 4])
+def test_ordinal_fit_is_the_likeliest(top):
+    """No other weights and ordered thresholds have a larger penalised likelihood, which is computed here as it is defined."""
     rng = np.random.default_rng(5)
     names = [f"f{i} 1" for i in range(6)]
-    x = rng.random((600, 6)) < 0.4
-    grades = np.digitize(x @ np.array([2.0, 1.5, 1.0, 0, 0, 0]) + rng.logistic(size=600) * 0.5, [1.5, 3.0])
-    model = toxicity.fit([[n for n, v in zip(names, row, strict=True) if v] for row in x], grades)
-    assert model.thresholds[0] < model.thresholds[1]
-    assert model.weights["f0 1"] > model.weights["f1 1"] > model.weights["f2 1"] > max(abs(model.weights[f"f{i} 1"]) for i in (3, 4, 5))
+    x = (rng.random((600, 6)) < 0.4).astype(float)
+    grades = np.digitize(x @ np.array([2.0, 1.5, 1.0, 0, 0, 0]) + rng.logistic(size=600) * 0.5, [1.5, 3.0, 3.5, 4.0][:top])
+    config = toxicity.OrdinalConfig()
+    model = toxicity.fit([[n for n, v in zip(names, row, strict=True) if v] for row in x], grades, config)
+
+    def plain(w, t):
+        above = 1 / (1 + np.exp(-(x @ w)[:, None] + t))
+        p = np.concatenate([np.ones((600, 1)), above], axis=1) - np.concatenate([above, np.zeros((600, 1))], axis=1)
+        return -np.log(p[np.arange(600), grades]).sum() + config.ridge * (w**2).sum() / 2 + 1e-3 * (t**2).sum() / 2
+
+    w, t = np.array([model.weights[n] for n in names]), np.array(model.thresholds)
+    assert len(t) == top and (np.diff(t) > 0).all()
+    least = plain(w, t)
+    assert np.isclose(toxicity.likelihood_loss(x, grades, w, t) + config.ridge * (w**2).sum() / 2 + 1e-3 * (t**2).sum() / 2, least)
+    for k in range(6 + top):  # the loss is convex, so a point without slope is the minimum
+        d = np.zeros(6 + top)
+        d[k] = 1e-4
+        assert abs(plain(w + d[:6], t + d[6:]) - plain(w - d[:6], t - d[6:])) / 2e-4 < 1e-3
+        assert plain(w + 100 * d[:6], t + 100 * d[6:]) > least and plain(w - 100 * d[:6], t - 100 * d[6:]) > least
     p = model.above(["f0 1"])
-    assert p[0] > p[1]
+    assert (np.diff(p) < 0).all()
+    severity = (x @ w)[:, None] - t
+    assert np.corrcoef((1 / (1 + np.exp(-severity))).sum(1), grades)[0, 1] > 0.6
+
+
+def test_ordinal_fit_of_odd_grades():
+    """Without grades above 0, with a grade that no row has, without features."""
+    assert toxicity.fit([["a 1"], []], np.array([0, 0])).above(["a 1"]).tolist() == [pytest.approx(0, abs=1e-9)]
+    model = toxicity.fit([["a 1"]] * 9 + [[]] * 9, np.array([3] * 8 + [0] * 9 + [1]))
+    assert len(model.thresholds) == 3 and model.thresholds[1] == model.thresholds[2] > model.thresholds[0]
+    assert np.isclose(toxicity.fit([[], [], [], []], np.array([0, 1, 1, 1])).above([])[0], 0.75, atol=0.01)
+    assert toxicity.fit([], np.array([], dtype=np.int64)).above([])[0] < 1e-9
 
 
 # op8
@@ -587,16 +621,19 @@ def test_packing_round_trip(docs, nothing):
     assert packing.pack(nothing).collect() == []
 
 
-def test_encoder_matches_library_on_odd_texts():
+def test_encoder_matches_library_on_odd_texts(monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = np.random.default_rng(4)
-    signs = list("ab'sé中\n\t \r.,;0  　\x1c\x85​😀\x00") + ["\r\n", "  ", "<|endoftext|>", "the ", "'ll", " "]
-    for _ in range(3000):
-        t = "".join(rng.choice(signs, rng.integers(0, 14)))
-        assert np.frombuffer(packing.encode(t), dtype="<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+    signs = list("ab'sé(_¿中\n\t \r.,;:!0  　\x1c\x85​😀\x00") + ["\r\n", "  ", "<|endoftext|>", "the ", "'ll", " "]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 14))) for _ in range(6000)]
+    for t, ids in zip(texts, packing.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+    monkeypatch.setattr(packing, "CHARS_AT_ONCE", 5)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    assert list(packing.encode_all(texts)) == [np.array(tk.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
 @pytest.mark.parametrize("select", ["norm", "dot"])
@@ -605,7 +642,7 @@ def test_histogram_packing_keeps_every_constraint(select):
     for _ in range(80):
         cap = int(rng.integers(5, 60))
         counts = {int(n): int(rng.integers(0, 30)) for n in rng.integers(1, cap + 1, rng.integers(1, cap))}
-        bins = packing.Bins(cap, int(rng.integers(1, 6)), int(cap * cap), select)
+        bins = packing.Bins(cap, int(rng.integers(1, 6)), int(rng.integers(max(counts) ** 2, cap * cap + 1)), select)
         slots, made = packing.pack_histogram(counts, bins)
         use, ranks = {}, Counter()
         for length, rank, n, first, offset in slots.tolist():
@@ -620,5 +657,8 @@ def test_histogram_packing_keeps_every_constraint(select):
                 assert offset == end
                 end += length
             assert end <= bins.tokens and len(held) <= bins.documents and sum(n * n for _, n in held) <= bins.attention
+    # Each capacity binds by itself: 60 pieces of 10 tokens by tokens, by documents and by attention.
+    for bins, least in ((packing.Bins(100, 1000, 10**6, select), 6), (packing.Bins(100, 5, 10**6, select), 12), (packing.Bins(100, 1000, 300, select), 20)):
+        assert packing.pack_histogram({10: 60}, bins)[1] == least
     counts = dict(zip(range(1, 1025), rng.integers(0, 3000, 1024).tolist(), strict=True))
     assert packing.pack_histogram(counts)[1] <= 1.01 * sum(n * k for n, k in counts.items()) / 1024 + 1
