@@ -1,19 +1,21 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Vectors get one more component that makes all lengths equal, so the nearest by distance has the largest inner product.
-Centroids come from k-means on a bounded sample; they are searched through an in-memory neighbour graph. A vector goes to
+Centroids come from k-means on a bounded sample; then lists that are too long are halved in place of the shortest ones, until
+none is much longer than the others. Centroids are searched through an in-memory neighbour graph. A vector goes to
 its nearest list and, if it lies near a boundary, to further ones whose distance is within a ratio of the nearest. A
 query reads the lists whose centroids are within a ratio of its nearest one. How many lists, up to which ratio and with
 how wide a beam is measured in every run: the neighbours of a few queries are found by brute force, and so many lists are
 read that these queries miss no more of them than the wanted recall allows; at worst that is all lists. Lists (and the queries of a list) above a
 bound are cut into chunks, so every group that is searched is bounded, and all chunks are searched: nothing is left out.
 
-Equal vectors are one entry that carries its smallest vec_ids, one more than a query returns; no other of them could be in
-an answer. Equal queries are searched once.
+Equal vectors are one entry that carries its smallest vec_ids, one more than a query returns, and how many rows have each
+(counted up to what a query returns); no other of them could be in an answer. Equal queries are searched once.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or differ in size from the most
-frequent size take no part. A null vec_id takes no part. Equal rows are one. A vec_id with several vectors is a query
-and a candidate with each of them; answers list it as often. A query with fewer candidates than wanted gets all that its lists hold.
+frequent size take no part. A null vec_id takes no part. Every row is a candidate, so a repeated row is listed as often as
+it is there, but rows of the query's own vec_id are never in its answer. A repeated query is answered once. A vec_id with
+several vectors is a query with each of them. A query with fewer candidates than wanted gets all that its lists hold.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ class AnnConfig:
     neighbours: int = 20
     list_size: int = 256  # vectors of a list on average
     most_lists: int = 16_384  # centroids kept in memory at most
-    sample: int = 16_384  # vectors that k-means is fitted on at most
+    sample: int = 32_768  # vectors that k-means is fitted on at most
+    slack: float = 1.5  # vectors of the sample that a list may get, in average ones
     rounds: int = 8
     degree: int = 16  # of the centroids' graph
     beam: int = 64  # at least
@@ -117,12 +120,17 @@ class Centroids:
         return ids, np.maximum(dist + size[:, None], 0)
 
 
+def _own(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    norms = (centres**2).sum(1)
+    return np.concatenate([(norms[None] - 2 * points[s : s + 1024] @ centres.T).argmin(1) for s in range(0, len(points), 1024)])
+
+
 def k_means(points: np.ndarray, k: int, config: AnnConfig) -> np.ndarray:
+    """Centres of plain rounds, then balanced."""
     rng = np.random.default_rng(config.seed)
     centres = points[np.sort(rng.choice(len(points), size=k, replace=False))].copy()
     for _ in range(config.rounds):
-        norms = (centres**2).sum(1)
-        own = np.concatenate([(norms[None] - 2 * points[s : s + 1024] @ centres.T).argmin(1) for s in range(0, len(points), 1024)])
+        own = _own(points, centres)
         counts = np.bincount(own, minlength=k)
         sums = np.stack([np.bincount(own, weights=points[:, j], minlength=k) for j in range(points.shape[1])], axis=1)
         filled = counts > 0
@@ -130,6 +138,35 @@ def k_means(points: np.ndarray, k: int, config: AnnConfig) -> np.ndarray:
         heavy = np.argsort(-counts, kind="stable")  # an empty list takes a point of a heavy one, for balance
         for empty, full in zip(np.flatnonzero(~filled), heavy, strict=False):
             centres[empty] = points[rng.choice(np.flatnonzero(own == full))]
+    return balanced(points, centres, config)
+
+
+def balanced(points: np.ndarray, centres: np.ndarray, config: AnnConfig) -> np.ndarray:
+    """Centres such that plain nearest assignment gives no list more than slack times the average: a list that has more gets a
+    second centre in place of one of the least needed, whose few points go to their next centres."""
+    k, most = len(centres), max(2, int(np.ceil(config.slack * len(points) / max(1, len(centres)))))
+    centres = centres.copy()
+    for _ in range(4 * config.rounds):
+        own = _own(points, centres)
+        counts = np.bincount(own, minlength=k)
+        full = np.flatnonzero(counts > most)
+        if not len(full):
+            break
+        full = full[np.argsort(-counts[full], kind="stable")]
+        spare = np.argsort(counts, kind="stable")[: len(full)]
+        for a, b in zip(full.tolist(), spare.tolist(), strict=False):
+            if counts[b] > most // 2 or a == b:
+                break
+            held = points[own == a]
+            # Two halves by the direction in which the list is longest.
+            inner = held - held.mean(0)
+            axis = inner[np.argmax((inner**2).sum(1))]
+            for _ in range(3):
+                axis = inner.T @ (inner @ axis)
+                axis /= max(np.linalg.norm(axis), 1e-300)
+            side = inner @ axis > np.median(inner @ axis)
+            if side.any() and not side.all():
+                centres[a], centres[b] = held[~side].mean(0), held[side].mean(0)
     return centres
 
 
@@ -214,10 +251,10 @@ def nearest(vectors: DataFrame, every: int = 20, config: AnnConfig = AnnConfig()
     # Zeroes of either sign are equal, so that equal vectors are equal as grouping keys.
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
     first = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= want)
+    few = rows.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(config.neighbours)).cast("int").alias("times")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= want)
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).distinct()
     queried = asked.select("v").distinct().withColumn("asked", F.lit(True))
-    entries = shared_table(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rid", F.get("ids", F.lit(0))).join(queried, "v", "left").select(F.xxhash64("v").alias("key"), "rid", "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")))
+    entries = shared_table(few.groupBy("v").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "times"))), lambda x: F.array_repeat(x["vec_id"], x["times"]))).alias("ids")).withColumn("rid", F.get("ids", F.lit(0))).join(queried, "v", "left").select(F.monotonically_increasing_id().alias("entry"), F.xxhash64("v").alias("key"), "rid", "v", "ids", F.coalesce("asked", F.lit(False)).alias("asked")))
     n = entries.count()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
@@ -239,10 +276,10 @@ def nearest(vectors: DataFrame, every: int = 20, config: AnnConfig = AnnConfig()
                 take = min(config.replicas, ids.shape[1])
                 good = dist[:, :take] <= config.boundary * dist[:, :1] + 1e-12
                 r, c = np.nonzero(good)
-                yield pd.DataFrame({"list": ids[r, c], "key": frame.key.to_numpy()[r], "rid": frame.rid.to_numpy()[r], "v": frame.v.to_numpy()[r]})
+                yield pd.DataFrame({"list": ids[r, c], "key": frame.key.to_numpy()[r], "entry": frame.entry.to_numpy()[r], "rid": frame.rid.to_numpy()[r], "v": frame.v.to_numpy()[r]})
 
-    place = "list long, key long, rid long, v array<double>"
-    held = shared_table(entries.select("key", "rid", "v").mapInPandas(assign, place))
+    place = "list long, key long, entry long, rid long, v array<double>"
+    held = shared_table(entries.select("key", "entry", "rid", "v").mapInPandas(assign, place))
     beam, probes, prune = reach(entries, held, centroids, longest, config)
 
     def probe(batches):
@@ -255,33 +292,33 @@ def nearest(vectors: DataFrame, every: int = 20, config: AnnConfig = AnnConfig()
                 yield part.assign(lists=[i[g] for i, g in zip(ids[:, :probes], good, strict=True)])
 
     # A query is stored once with its lists, however many.
-    wanted = shared_table(entries.where("asked").select("key", "rid", "v").mapInPandas(probe, "key long, rid long, v array<double>, lists array<long>"))
-    wanted = wanted.select(F.explode("lists").alias("list"), "key", "rid", "v")
+    wanted = shared_table(entries.where("asked").select("key", "entry", "v").mapInPandas(probe, "key long, entry long, v array<double>, lists array<long>"))
+    wanted = wanted.select(F.explode("lists").alias("list"), "key", "entry", "v")
     chunks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / config.chunk).cast("int").alias(name))  # noqa: E731  at most most_lists rows
     cut = chunks(held, "hold").join(chunks(wanted, "ask"), "list")
-    by = lambda df, own, other: df.join(F.broadcast(cut), "list").withColumn("mine", F.pmod(F.xxhash64("key", "rid"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-    left = by(held, "hold", "ask").select("list", F.col("mine").alias("h"), F.col("theirs").alias("a"), "rid", "v")
-    right = by(wanted, "ask", "hold").select("list", F.col("theirs").alias("h"), F.col("mine").alias("a"), "rid", "v")
+    by = lambda df, own, other: df.join(F.broadcast(cut), "list").withColumn("mine", F.pmod(F.xxhash64("key", "entry"), F.col(own)).cast("int")).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    left = by(held, "hold", "ask").select("list", F.col("mine").alias("h"), F.col("theirs").alias("a"), "entry", "rid", "v")
+    right = by(wanted, "ask", "hold").select("list", F.col("theirs").alias("h"), F.col("mine").alias("a"), "entry", "v")
 
     def search(candidates, queries):
         if not len(candidates) or not len(queries):
-            return pd.DataFrame({"query": [], "rid": [], "score": []})
-        c, q, rid = _matrix(candidates.v), _matrix(queries.v), candidates.rid.to_numpy()
+            return pd.DataFrame({"query": [], "entry": [], "rid": [], "score": []})
+        c, q, entry, rid = _matrix(candidates.v), _matrix(queries.v), candidates.entry.to_numpy(), candidates.rid.to_numpy()
         take, out = min(want, len(rid)), []
         for s in range(0, len(q), 512):
             product = q[s : s + 512] @ c.T
             top = np.argpartition(-product, take - 1, axis=1)[:, :take]
             last = np.take_along_axis(product, top, axis=1).min(1)
             r, at = np.nonzero(product >= (last - 1e-12 * np.abs(last))[:, None])  # ties of the last stay in
-            out.append(pd.DataFrame({"query": queries.rid.to_numpy()[s + r], "rid": rid[at], "score": (q[s + r] * c[at]).sum(1)}))
+            out.append(pd.DataFrame({"query": queries.entry.to_numpy()[s + r], "entry": entry[at], "rid": rid[at], "score": (q[s + r] * c[at]).sum(1)}))
         return pd.concat(out)
 
-    met = left.groupBy("list", "h", "a").cogroup(right.groupBy("list", "h", "a")).applyInPandas(search, "query long, rid long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "rid")
-    near = met.groupBy("query", "rid").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= want)
-    full = near.join(entries.select("rid", "ids"), "rid").groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("less"), "ids")).alias("found"))
+    met = left.groupBy("list", "h", "a").cogroup(right.groupBy("list", "h", "a")).applyInPandas(search, "query long, entry long, rid long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "rid", "entry")
+    near = met.groupBy("query", "entry", "rid").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= want)
+    full = near.join(entries.select("entry", "ids"), "entry").groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("less"), "ids")).alias("found"))
     each = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct(f["less"].alias("less"), i.alias("vec_id")))))
-    answers = full.select("query", F.slice(F.array_sort(each), 1, want).alias("found"))
-    owners = asked.select("vec_id", "v").join(entries.where("asked").select("v", "rid"), "v").select(F.col("vec_id").alias("query_id"), F.col("rid").alias("query"))
+    answers = full.select("query", F.array_sort(each).alias("found"))
+    owners = asked.select("vec_id", "v").join(entries.where("asked").select("v", "entry"), "v").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"))
     others = owners.join(answers, "query").select("query_id", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, config.neighbours).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("at", "f")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.less")).alias("score"))

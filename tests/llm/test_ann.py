@@ -54,10 +54,51 @@ def test_small_and_empty_tables(spark):
     got = ann.nearest(spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.5, -0.5])], schema)).collect()
     want = [(20, 1, 3, 0.5), (20, 2, 4, 0.5)]
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == want
-    twice = spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.5, -0.5])] * 2, schema)
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5]), (4, [0.5, -0.5])] * 2, schema)  # each row is a candidate
+    want = [(20, 1, 3, 0.5), (20, 2, 3, 0.5), (20, 3, 4, 0.5), (20, 4, 4, 0.5)]
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(ann.nearest(twice).collect(), key=lambda r: r["rank"])] == want
 
 
+def test_repeated_rows_and_clashing_columns(spark):
+    """An id with several vectors, rows repeated more often than a query returns, a query's own repeats; other columns of any name."""
+    schema = "vec_id long, embedding array<double>, asked string, rid string, v string, entry string, key string, ids string"
+    rows = [(20, [1.0, 0.0])] * 9 + [(3, [0.5, 0.5])] * 7 + [(3, [0.9, 0.1])] + [(4, [0.9, 0.1])] * 2 + [(40, [0.2, 1.0]), (40, [1.0, 0.0]), (7, [1.0, 0.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(*r, *"abcdef") for r in rows], schema).repartition(3), 20, ann.AnnConfig(neighbours=6, list_size=2, chunk=2)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    near = lambda q, v: [(k + 1, i, s) for k, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:6])]
+    want = {20: near(20, [1.0, 0.0]), 40: near(40, [0.2, 1.0]) + near(40, [1.0, 0.0])}
+    assert {q: sorted((k, i, -s) for k, i, s in x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+
+
+def test_lists_are_balanced():
+    """Points in few dense clusters: no list gets much more than the average of them."""
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.normal(size=32) * 4 + rng.normal(size=(n, 32)) for n in (9000, 3000, 1000, 500, 200, 100, 50)])
+    config = ann.AnnConfig()
+    k = len(points) // 256
+    counts = np.bincount(ann._own(points, ann.k_means(points, k, config)), minlength=k)
+    assert counts.max() <= config.slack * len(points) / k + 1 and len(counts) == k
+
+
+@pytest.mark.parametrize("clusters", [0, 300])
+def test_recall_with_many_lists(spark, clusters):
+    """40,000 vectors in 200 lists, spread evenly or in clusters, against brute force."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40_000, 32))
+    if clusters:
+        x = 0.4 * x + rng.normal(size=(clusters, 32))[rng.integers(0, clusters, len(x))]
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    got = ann.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(8), 200, ann.AnnConfig(list_size=200)).toPandas()
+    y, hits = x.astype(float), []
+    for q, g in got.groupby("query_id"):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argpartition(-s, 20)[:20]) & set(g.vec_id)) / 20)
+    print("recall", clusters, np.mean(hits))
+    assert len(hits) == 200 and np.mean(hits) >= 0.9
+
+
 def test_recall_on_the_table(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = df.toPandas()
