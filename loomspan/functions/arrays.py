@@ -44,6 +44,37 @@ def partition_by(array, predicate) -> Column:
     return F.struct(F.filter(a, predicate).alias("hit"), F.filter(a, lambda x: ~predicate(x)).alias("rest"))
 
 
+def split_by_pivot(array, pivot) -> Column:
+    """struct(hit, rest) by a place, a slice, a list of places or a predicate.
+
+    A place: what is before it and the rest. A slice that rises: its elements and the others. A slice that falls: the
+    others and its elements, from the last one down. Places below 0 count from the end; those outside the array are none.
+    """
+    a = _c(array)
+    if callable(pivot):
+        return partition_by(a, pivot)
+    n = F.size(a)
+    back = lambda i: n + i if i < 0 else F.lit(i)
+    if isinstance(pivot, int):
+        at = F.greatest(F.lit(0), F.least(n, back(pivot)))
+        return F.struct(F.slice(a, F.lit(1), at).alias("hit"), F.slice(a, at + 1, n).alias("rest"))
+    if isinstance(pivot, slice):
+        step = pivot.step or 1
+        first = back(pivot.start) if pivot.start is not None else F.lit(0) if step > 0 else n - 1
+        last = back(pivot.stop) if pivot.stop is not None else n if step > 0 else F.lit(-1)
+        if step > 0:
+            first = F.greatest(F.lit(0), first)
+            inside = lambda i: (i >= first) & (i < last) & ((i - first) % step == 0)
+        else:
+            first = F.least(n - 1, first)
+            inside = lambda i: (i <= first) & (i > last) & ((first - i) % -step == 0)
+        taken = F.filter(a, lambda x, i: inside(i))
+        others = F.filter(a, lambda x, i: ~inside(i))
+        return F.struct(taken.alias("hit"), others.alias("rest")) if step > 0 else F.struct(others.alias("hit"), F.reverse(taken).alias("rest"))
+    places = F.array(*(back(i).cast("int") for i in pivot)) if len(pivot) else F.array().cast("array<int>")
+    return F.struct(F.filter(a, lambda x, i: F.array_contains(places, i)).alias("hit"), F.filter(a, lambda x, i: ~F.array_contains(places, i)).alias("rest"))
+
+
 def delete_indices(array, indices) -> Column:
     gone = _c(indices)
     return F.filter(_c(array), lambda _, i: ~F.array_contains(gone, i))
@@ -100,6 +131,22 @@ def pad(array, width, fill, left: bool = False) -> Column:
     return F.concat(more, _c(array)) if left else F.concat(_c(array), more)
 
 
+def pad_randomly(array, width: int, fill, seed) -> Column:
+    """The array with fill put in at places that the seed (a column) draws, until it has the width; its last element stays the last."""
+    a = _c(array)
+    missing = F.greatest(F.lit(0), F.lit(width) - F.size(a))
+    draws = F.when(missing > 0, F.sequence(F.lit(1), missing)).otherwise(F.array().cast("array<int>"))
+    place = lambda acc, k: (F.pmod(F.xxhash64(_c(seed), k), F.greatest(F.size(acc), F.lit(1))) + 1).cast("int")
+    return F.aggregate(draws, a, lambda acc, k: F.array_insert(acc, place(acc, k), F.lit(fill)))
+
+
+def random_combination(n, k, seed) -> Column:
+    """k of the numbers from 0 to n - 1 (all, if there are fewer), falling, as the seed draws them."""
+    numbers = F.when(_c(n) > 0, F.sequence(F.lit(0), _c(n) - 1)).otherwise(F.array().cast("array<int>"))
+    drawn = F.array_sort(F.transform(numbers, lambda i: F.struct(F.xxhash64(_c(seed), i).alias("key"), i.alias("i"))))
+    return F.sort_array(F.transform(F.slice(drawn, F.lit(1), _c(k)), lambda d: d["i"]), asc=False)
+
+
 def gcd(a, b) -> Column:
     """Greatest common divisor: Euclid's steps, at most 92 of them for longs."""
     start = F.struct(F.abs(_c(a)).cast("long").alias("x"), F.abs(_c(b)).cast("long").alias("y"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import block_latex, detect_language
 from ..udf import arrow_udf
 from .markdown import parse_tree, text_leaves
@@ -36,15 +37,29 @@ def target_language(text: Column) -> Column:
     return F.when(found.isNull() | (found == "math"), "en").otherwise(found)
 
 
+def consistency(sentences: Column, wanted: Column, least: int = 32) -> Column:
+    """struct(score, error): the sentences that are gibberish or of another language (en, de and fr count as one), and their bytes over `least`, negative.
+
+    Computed within the row, so rows of equal or null id are judged apart.
+    """
+
+    european = wanted.isin(*EUROPEAN)
+
+    def differs(found):
+        return F.coalesce((found != wanted) & (found != "math") & ~(european & found.isin(*EUROPEAN)), F.lit(False))
+
+    def bad(s):
+        return s["text"].contains("\ufffd") | ((s["scan_length"] >= least) & s["text"].rlike(r"[\p{L}\p{N}_]") & let(detect_language(s["text"]), differs))
+
+    def result(hits):
+        total = F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + h["scan_length"])
+        return F.struct((-total / least).alias("score"), hits.alias("error"))
+
+    return let(F.filter(sentences, bad), result)
+
+
 def language_consistency(df: DataFrame, id_col: str, text: Column, answer: Column, lang: Column | None = None, least: int = 32) -> DataFrame:
-    """id, lang, score, error: the sentences that are gibberish or of another language (en, de and fr count as one), and their bytes over `least`, negative."""
+    """id, lang, score, error of every row: see consistency. A null answer has no sentences."""
     wanted = F.lower(lang) if lang is not None else target_language(text)
-    rows = df.select(F.col(id_col), wanted.alias("lang"), plain_sentences(block_latex(answer)).alias("sentences"))
-    s = F.col("s")
-    found = detect_language(s["text"])
-    differs = (found != F.col("lang")) & (found != "math") & ~(F.col("lang").isin(*EUROPEAN) & found.isin(*EUROPEAN))
-    bad = s["text"].contains("�") | (s["text"].rlike(r"[\p{L}\p{N}_]") & F.coalesce(differs, F.lit(False)) & (s["scan_length"] >= least))
-    judged = rows.select(id_col, "lang", F.posexplode_outer("sentences").alias("at", "s")).withColumn("bad", F.coalesce(bad, F.lit(False)))
-    hits = F.array_sort(F.collect_list(F.when(F.col("bad"), F.struct("at", "s"))))
-    score = -F.coalesce(F.sum(F.when(F.col("bad"), s["scan_length"])), F.lit(0)) / least
-    return judged.groupBy(id_col, "lang").agg(score.alias("score"), F.transform(hits, lambda h: h["s"]).alias("error"))
+    rows = df.select(F.col(id_col), wanted.alias("lang"), plain_sentences(block_latex(F.coalesce(answer, F.lit("")))).alias("sentences"))
+    return rows.select(id_col, "lang", consistency(F.col("sentences"), F.col("lang"), least).alias("c")).select(id_col, "lang", "c.score", "c.error")

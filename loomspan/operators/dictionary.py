@@ -1,7 +1,7 @@
 """Many-pattern matching against a vocabulary and segmentation by it.
 
-`dictionary_hits` is a join: the windows of a text of the vocabulary's lengths meet the words, so any vocabulary size works; the
-automaton serves texts in Python where the vocabulary's size has been checked. Segmentation takes the cover of
+Vocabularies up to a checked size are broadcast as an automaton that reads each text once; above it `dictionary_hits` joins the
+windows of a text to the words, so any size works. Segmentation takes the cover of
 disjoint words with the largest sum of weights, of equal sums the one of fewer words, then of the earlier ones.
 """
 
@@ -38,6 +38,15 @@ class Automaton:
             return []
         return sorted((end + 1 - n, end + 1, v) for end, (n, v) in self.machine.iter(text))
 
+    def leftmost_longest(self, text: str) -> list[tuple[int, int, object]]:
+        """From the left, at each place the longest hit that begins there and doesn't overlap the one before."""
+        out, reach = [], 0
+        for b, e, v in sorted(self.hits(text), key=lambda h: (h[0], -h[1])):
+            if b >= reach:
+                out.append((b, e, v))
+                reach = e
+        return out
+
     def longest(self, text: str) -> tuple[int, int, object] | None:
         return max(self.hits(text), key=lambda h: (h[1] - h[0], -h[0]), default=None)
 
@@ -124,19 +133,35 @@ def tagger(spark, labelled: dict[str, tuple[str, float]]):
     return run
 
 
-def dictionary_hits(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word", lengths: list[int] | None = None) -> DataFrame:
-    """id, begin, end, word of all overlapping occurrences: windows of the vocabulary's lengths joined to its words."""
-    if lengths is None:
-        lengths = sorted(r[0] for r in vocabulary.select(F.length(word_col).alias("n")).distinct().collect())
+def dictionary_hits(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word", most: int = MOST_WORDS, longest: bool = False) -> DataFrame:
+    """id, begin, end, word of all overlapping occurrences, or of the longest ones only: at each place that no longer hit to the left covers, the longest word there.
+
+    Up to `most` distinct words are broadcast as an automaton, which reads each text once and shuffles nothing; above
+    that, windows of the vocabulary's lengths are joined to its words.
+    """
+    words = vocabulary.select(F.col(word_col).alias("word")).where(F.length("word") > 0).distinct()
+    n = words.count()
+    if n > most:
+        if longest:
+            raise ValueError(f"a vocabulary of {n} words is too large for broadcast, which longest matches need")
+        return _joined_hits(docs, words, id_col, text_col).withColumnRenamed("word", word_col)
+    shared = docs.sparkSession.sparkContext.broadcast([r[0] for r in words.collect()])
+
+    @arrow_udf("array<struct<begin:int,end:int,word:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        machine = Automaton(dict.fromkeys(shared.value, 0))
+        return texts.map(lambda t: [{"begin": b, "end": e, "word": t[b:e]} for b, e, _ in (machine.leftmost_longest(t) if longest else machine.hits(t))] if t else [])
+
+    return docs.select(id_col, F.explode(run(text_col)).alias("h")).select(id_col, "h.begin", "h.end", F.col("h.word").alias(word_col))
+
+
+def _joined_hits(docs: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    lengths = sorted(r[0] for r in words.select(F.length("word").alias("n")).distinct().collect())
     t = F.col(text_col)
-    parts = []
-    for n in lengths:
-        rows = docs.where(F.length(t) >= n).select(id_col, F.explode(F.sequence(F.lit(0), F.length(t) - n)).alias("begin"), t)
-        parts.append(rows.select(id_col, "begin", (F.col("begin") + n).alias("end"), F.substring(t, F.col("begin") + 1, F.lit(n)).alias(word_col)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(vocabulary.select(word_col).distinct(), word_col).select(id_col, "begin", "end", word_col)
+    places = docs.select(id_col, t.alias("_t"), F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("_t") >= F.col("n"))
+    places = places.select(id_col, "_t", "n", F.explode(F.sequence(F.lit(0), F.length("_t") - F.col("n"))).alias("begin"))
+    grams = places.select(id_col, "begin", (F.col("begin") + F.col("n")).alias("end"), F.substring("_t", F.col("begin") + 1, F.col("n")).alias("word"))
+    return grams.join(words, "word").select(id_col, "begin", "end", "word")
 
 
 def word_counts(docs: DataFrame, words) -> DataFrame:

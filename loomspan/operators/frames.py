@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrays import pad
+
 
 def select_rows(df: DataFrame, fields: list[str] | str = "*", where: str | Column | None = None, order: Column | str | None = None, limit: int | None = None, offset: int = 0, **conditions) -> DataFrame:
     """Rows by conditions column=value: a list is IN, a text on an array, struct, map or variant column a pattern on its JSON, any other value equality."""
@@ -154,3 +156,20 @@ def containing_node(spans: DataFrame, nodes: DataFrame, keys: list[str]) -> Data
     """spans (keys, start, stop) with the kind of the innermost node (keys, start_idx, end_idx, kind) around them."""
     met = spans.join(nodes, keys).where((F.col("start_idx") <= F.col("start")) & (F.col("stop") <= F.col("end_idx")))
     return met.groupBy(*keys, "start", "stop").agg(F.max_by("kind", F.struct("start_idx", -F.col("end_idx"), "depth")).alias("kind"))
+
+
+def padded(df: DataFrame, column: str, fill, left: bool = False) -> DataFrame:
+    """df whose arrays in a column have the length of its longest one; of arrays of arrays the inner ones get theirs too, and what is added is full of fill."""
+    nested = df.schema[column].dataType.elementType.typeName() == "array"
+    sizes = [F.max(F.size(column)).alias("_width")]
+    if nested:
+        sizes.append(F.max(F.array_max(F.transform(column, lambda x: F.size(x)))).alias("_height"))
+    rows = df.join(F.broadcast(df.agg(*sizes)))  # one row is broadcast
+    value = F.col(column)
+    more = F.lit(fill)
+    if nested:
+        value = F.transform(value, lambda x: pad(x, F.col("_height"), fill, left))
+        more = F.array_repeat(F.lit(fill), F.col("_height"))
+    extra = F.array_repeat(more, F.greatest(F.lit(0), F.col("_width") - F.size(column)))
+    value = F.concat(extra, value) if left else F.concat(value, extra)
+    return rows.withColumn(column, value).drop("_width", "_height")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -162,8 +163,31 @@ def repetition_penalty(spans: Column, least_count: int = 3, least_length: int =
     return F.struct(score.alias("score"), F.transform(hits, lambda c: c["e"]).alias("error"))
 
 
+@arrow_udf("array<struct<gram:binary,n:bigint,first:int,last:int,positions:array<int>>>")
+def equal_windows(texts: pd.Series) -> pd.Series:
+    """The windows of 8 bytes that occur twice or more in a text, by their bytes, with all their positions."""
+
+    def one(text):
+        data = np.frombuffer((text or "").encode(), dtype=np.uint8).astype(np.uint64)
+        n = len(data) - SEED + 1
+        if n < 2:
+            return []
+        keys = np.zeros(n, dtype=np.uint64)
+        for k in range(SEED):
+            keys = keys << np.uint64(8) | data[k : k + n]
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        end = np.append(begin[1:], n)
+        several = end - begin > 1
+        return [{"gram": int(ordered[b]).to_bytes(SEED, "big"), "n": e - b, "first": int(order[b]), "last": int(order[e - 1]), "positions": order[b:e].astype(np.int32)} for b, e in zip(begin[several].tolist(), end[several].tolist(), strict=True)]
+
+    return texts.map(one)
+
+
 def seed_groups(docs, id_col: str = "doc_id", text_col: str = "text"):
-    """(id, gram, positions) of all equal windows of 8 bytes that occur twice or more in a text, in DataFrame operations."""
-    data = docs.select(id_col, F.col(text_col).cast("binary").alias("data")).where(F.octet_length("data") >= SEED)
-    grams = data.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("data") - SEED + 1), lambda i: F.substring("data", i, F.lit(SEED)))).alias("position", "gram"))
-    return grams.groupBy(id_col, "gram").agg(F.count("*").alias("n"), F.min("position").alias("first"), F.max("position").alias("last")).where("n > 1")
+    """(id, gram, n, first, last, positions) of all equal windows of 8 bytes that occur twice or more in a text.
+
+    Groups never cross a text, so they are found within its row and nothing is shuffled; rows of one id stay apart.
+    """
+    return docs.select(id_col, F.explode(equal_windows(text_col)).alias("w")).select(id_col, "w.*")

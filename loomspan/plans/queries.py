@@ -20,6 +20,7 @@ INTEGERS = {
     "citation_penalty": ("score", "n_errors"), "text_scalars": ("place", "width"), "balanced_groups": ("n",), "array_scalars": ("lower",), "vector_scalars": ("active",), "gap_runs": ("n_runs", "longest"),
     "select_page": ("place",), "equal_batches": ("batch",), "sorted_arrays": ("start", "stop"), "schema_profile": ("longest",), "numbered_lines": ("line_no",), "distinct_lines": ("line_no",), "find_line": ("line_no",),
     "style_window": ("first",), "dictionary_hits": ("begin", "end"), "fuzzy_lookup": ("distance",), "repetition_seeds": ("first", "last"), "english_tokens": ("n_tokens",),
+    "token_labels": ("nth",), "wordpiece_tokens": ("n_pieces",),
 }
 
 
@@ -428,7 +429,7 @@ def fuzzy_lookup(spark, sf):
 @query("""WITH b AS (SELECT doc_id, encode(text) AS d FROM documents)
 SELECT doc_id, lower(hex(g)) AS gram, count(*) AS n, min(i) AS first, max(i) AS last FROM (SELECT doc_id, i - 1 AS i, d[i:i + 7] AS g FROM (SELECT doc_id, d, unnest(generate_series(1, octet_length(d) - 7)) AS i FROM b)) GROUP BY doc_id, g HAVING count(*) > 1""")
 def repetition_seeds(spark, sf):
-    return repetition.seed_groups(_docs(spark, sf)).select("doc_id", F.lower(F.hex("gram")).alias("gram"), "n", "first", "last")
+    return repetition.seed_groups(_spread(spark, sf)).select("doc_id", F.lower(F.hex("gram")).alias("gram"), "n", "first", "last")
 
 
 # Text algorithms in Python; tests hold them against brute force and properties.
@@ -522,7 +523,8 @@ def entity_labels(spark, sf):
     return t.groupBy("conv_id", "turn", F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""SELECT item_id, nth, CASE WHEN nth % 10 < 3 AND nth - nth % 10 <= n - 3 THEN ['B-X', 'I-X', 'L-X'][nth % 10 + 1] ELSE 'O' END AS label
+FROM (SELECT item_id, n, unnest(generate_series(0, n - 1)) AS nth FROM (SELECT item_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM benchmark))""")
 def token_labels(spark, sf):
     """BILOU labels of a benchmark item's words; entities are the stretches of three words from every tenth on."""
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
@@ -535,7 +537,8 @@ def token_labels(spark, sf):
     return b.select("item_id", F.posexplode(tagging.bilou("tokens", entities)).alias("nth", "label"))
 
 
-@query()
+@query(r"""SELECT item_id, sum(CASE WHEN regexp_full_match(w, '[a-z]{1,200}') THEN 1 + len(regexp_extract_all(regexp_replace(w, '^(the|and|th|[a-z])', ''), 'ing|er|[a-z]')) ELSE 1 END) AS n_pieces
+FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{P}$+<=>^`|~]|[^\s\p{P}$+<=>^`|~]+')) AS w FROM benchmark) GROUP BY item_id""")
 def wordpiece_tokens(spark, sf):
     letters = "abcdefghijklmnopqrstuvwxyz"
     cut = tagging.wordpiece_udf(spark, [*letters, *(f"##{c}" for c in letters), "th", "##er", "##ing", "the", "and", ".", ","])
@@ -551,7 +554,12 @@ def dependency_trees(spark, sf):
     return _spread(spark, sf, "embeddings").select("vec_id", tagging.arborescence_udf(_matrix(F.col("embedding"), 8)).alias("heads"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id, list_transform(range(0, 8), lambda i: embedding[i * 8 + 1:i * 8 + 8]::DOUBLE[]) AS m FROM embeddings),
+v AS (SELECT vec_id, m, 1 AS t, m[1] AS cost, list_transform(range(0, 8), lambda j: [j]) AS paths FROM e
+UNION ALL SELECT vec_id, m, t + 1, list_transform(range(1, 9), lambda j: list_min(list_transform(range(1, 9), lambda i: cost[i] + m[i][j])) + m[t + 1][j]),
+    list_transform(range(1, 9), lambda j: list_append(paths[list_position(list_transform(range(1, 9), lambda i: cost[i] + m[i][j]), list_min(list_transform(range(1, 9), lambda i: cost[i] + m[i][j])))], j - 1))
+    FROM v WHERE t < 8)
+SELECT vec_id, paths[list_position(cost, list_min(cost))]::INTEGER[] AS path, round(list_min(cost), 6) AS energy FROM v WHERE t = 8""")
 def viterbi_paths(spark, sf):
     e = _spread(spark, sf, "embeddings").select("vec_id", _matrix(F.col("embedding"), 8).alias("m"))
     return e.select("vec_id", tagging.viterbi_udf("m", "m").alias("v")).select("vec_id", "v.path", F.round("v.energy", 6).alias("energy"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import combine_reward, let
-from ..functions.text import citation_penalty, detect_language, display_width, terminal_penalty
-from ..operators.consistency import language_consistency
+from ..functions.text import block_latex, citation_penalty, detect_language, display_width, terminal_penalty
+from ..operators.consistency import consistency, plain_sentences
 from ..operators.markdown import markdown_facts
 from ..operators.repetition import repetition_penalty, repetition_spans
 
@@ -24,21 +24,22 @@ def least_window(blocks: Column, size: int = 5) -> Column:
 
 
 def scorecard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Each text is parsed once for structure and once for repetition; the rest are columns of the same rows."""
+    """One row for each row of docs, without a shuffle: a text's facts, repeated spans and sentences are found once, the rest are columns of the same row."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    facts = docs.select(id_col, F.col(lang_col).alias("lang"), t.alias("_t")).withColumn("facts", markdown_facts("_t")).withColumn("spans", repetition_spans("_t"))
-    scored = facts.select(
+    found = docs.select(id_col, F.col(lang_col).alias("lang"), t.alias("_t"), detect_language(t).alias("detected"))
+    found = found.withColumn("facts", markdown_facts("_t")).withColumn("spans", repetition_spans("_t")).withColumn("sentences", plain_sentences(block_latex(F.col("_t"))))
+    wanted = F.when(F.col("detected").isNull() | (F.col("detected") == "math"), "en").otherwise(F.col("detected"))
+    scored = found.select(
         id_col,
         "lang",
-        detect_language("_t").alias("detected"),
+        "detected",
         citation_penalty("_t")["score"].alias("citation"),
         (terminal_penalty("_t", "lang") - F.size("facts.warnings")).alias("syntax"),
         repetition_penalty(F.col("spans"))["score"].alias("repetition"),
         F.col("facts.depth").alias("depth"),
         F.col("facts.breadth").alias("breadth"),
         least_window(F.col("facts.blocks")).alias("style"),
+        consistency(F.col("sentences"), wanted)["score"].alias("consistency"),
     )
-    consistent = language_consistency(docs.select(id_col, t.alias("_t")), id_col, F.col("_t"), F.col("_t")).select(id_col, F.col("score").alias("consistency"))
-    both = scored.join(consistent, id_col, "left").withColumn("consistency", F.coalesce("consistency", F.lit(0.0)))
     parts = F.array(*(F.col(c).cast("double") for c in ("citation", "syntax", "repetition", "consistency")))
-    return both.withColumn("reward", combine_reward(F.lit(1.0), parts))
+    return scored.withColumn("reward", combine_reward(F.lit(1.0), parts))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomspan.operators import augment, dictionary, formula, markdown, markup, repetition, sentences, tagging
 
@@ -258,3 +259,50 @@ def test_guarded():
     from loomspan.udf import guarded
 
     assert guarded(lambda x: 1 / x, -30)(0) == -30 and guarded(lambda x: 1 / x, -30)(2) == 0.5
+
+
+def test_seed_groups_of_repeated_ids(spark):
+    """All equal windows of 8 bytes of each row; rows of one id or none stay apart."""
+    from loomspan.operators import repetition
+
+    texts = [(1, "abcdefghabcdefgh"), (1, "xabcdefghx"), (None, "äöüäöüäöüäöü"), (None, None), (2, ""), (3, "aaaaaaaaaaaa")]
+    want = []
+    for i, t in texts:
+        data, places = (t or "").encode(), {}
+        for k in range(len(data) - 7):
+            places.setdefault(data[k : k + 8], []).append(k)
+        want += [(i, g, len(p), p[0], p[-1], p) for g, p in places.items() if len(p) > 1]
+    got = [(r.doc_id, bytes(r.gram), r.n, r.first, r.last, r.positions) for r in repetition.seed_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_dictionary_hits_by_automaton_and_by_join(spark):
+    from loomspan.operators import dictionary
+
+    texts = [(1, "he said she sells"), (1, "ushers"), (2, None), (3, ""), (None, "😀 she")]
+    words = ["he", "she", "hers", "sells", "s", "", "she"]
+    docs, vocabulary = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(w,) for w in words], "word string")
+    want = sorted((str(i), k, k + len(w), w) for i, t in texts for w in set(words) - {""} for k in range(len(t or "")) if t[k : k + len(w)] == w)
+    plain = lambda df: sorted((str(r.doc_id), r.begin, r.end, r.word) for r in df.collect())
+    assert plain(dictionary.dictionary_hits(docs, vocabulary)) == want
+    assert plain(dictionary.dictionary_hits(docs, vocabulary, most=2)) == want
+    assert "Exchange" not in dictionary.dictionary_hits(docs, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    longest = [(r.begin, r.word) for r in dictionary.dictionary_hits(docs.where("text = 'ushers'"), vocabulary, longest=True).collect()]
+    assert longest == [(1, "she"), (5, "s")]
+    with pytest.raises(ValueError):
+        dictionary.dictionary_hits(docs, vocabulary, most=2, longest=True)
+
+
+def test_language_consistency_of_repeated_and_missing_ids(spark):
+    """Rows of one id or none are judged apart; sentences of another language count, short ones and those without letters don't."""
+    from loomspan.operators import consistency
+
+    german = "Die Straße führt über die Brücke und dann weiter."
+    russian = "Это предложение написано совсем на другом языке."
+    texts = [(1, f"This is an English sentence, and it is long enough. {russian}"), (1, "All of this is plain English text and stays so."), (None, russian), (None, f"An English text with a German one. {german}"), (4, None), (5, "12345. Да.")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    rows = consistency.language_consistency(df, "id", F.lit("x"), F.col("t"), F.lit("en"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = [(r.id, [e.text.strip() for e in r.error], r.score) for r in rows.collect()]
+    assert [g[:2] for g in got] == [(1, [russian]), (1, []), (None, [russian]), (None, []), (4, []), (5, [])]
+    assert got[1][2] == 0 and abs(got[0][2] + len(russian.encode()) / 32) < 0.1

@@ -168,3 +168,51 @@ def test_registered_functions(spark):
     registry.register(spark)
     assert spark.sql("SELECT answer_depth('# A\n## B\n## C\nx') d, size(sentence_split('A b. C d, e.')) n").first().d == 2
     assert spark.sql("SELECT * FROM combinations(4, 2)").count() == 6 and spark.sql("SELECT * FROM permutations(3)").count() == 6
+
+
+def plain_split(x, pivot):
+    n = len(x)
+    if isinstance(pivot, int):
+        return x[:pivot], x[pivot:]
+    if isinstance(pivot, slice):
+        taken = list(range(n))[pivot]
+        others = [v for i, v in enumerate(x) if i not in set(taken)]
+        return (x[pivot], others) if (pivot.step or 1) > 0 else (others, x[pivot])
+    places = {i % n for i in pivot if -n <= i < n} if n else set()
+    return [v for i, v in enumerate(x) if i in places], [v for i, v in enumerate(x) if i not in places]
+
+
+def test_splits_by_any_pivot(spark):
+    from loomspan.functions import arrays
+
+    lists = [[], [5], [1, 2, 3], [7, 7, 1, 0, 9, 4, 4]]
+    pivots = [0, 2, -1, 9, -9, slice(1, 3), slice(None, -1), slice(-3, None), slice(1, None, 2), slice(None, None, -1), slice(5, 1, -2), slice(-2, None, -1), slice(None, 2, -1), [0, 2], [-1], [1, 1, 50], []]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, x array<int>")
+    got = df.select("k", *(arrays.split_by_pivot("x", p).alias(f"p{i}") for i, p in enumerate(pivots))).orderBy("k").collect()
+    for x, row in zip(lists, got, strict=True):
+        for i, p in enumerate(pivots):
+            want = plain_split(x, p)
+            assert (row[f"p{i}"].hit, row[f"p{i}"].rest) == want, (x, p)
+    row = df.select(arrays.split_by_pivot("x", lambda v: v > 4).alias("p")).collect()[3].p
+    assert (row.hit, row.rest) == ([7, 7, 9], [1, 0, 4, 4])
+
+
+def test_random_paddings_and_combinations(spark):
+    from loomspan.functions import arrays
+
+    df = spark.range(200).select(F.col("id"), F.transform(F.sequence(F.lit(0), (F.col("id") % 4).cast("int")), lambda i: i + 1).alias("x"))
+    rows = df.select("x", arrays.pad_randomly("x", 6, -1, "id").alias("p"), arrays.random_combination(F.lit(9), F.lit(4), "id").alias("c"), arrays.random_combination(F.lit(3), F.lit(5), "id").alias("all")).collect()
+    for r in rows:
+        assert len(r.p) == 6 and [v for v in r.p if v != -1] == r.x and r.p[-1] == r.x[-1]
+        assert len(set(r.c)) == 4 and r.c == sorted(r.c, reverse=True) and set(r.c) <= set(range(9)) and r["all"] == [2, 1, 0]
+    assert len({tuple(r.p) for r in rows}) == 26 and len({tuple(r.c) for r in rows}) > 50
+    empty = spark.range(1).select(arrays.pad_randomly(F.array().cast("array<int>"), 3, 7, "id").alias("p"), arrays.random_combination(F.lit(0), F.lit(2), "id").alias("c")).first()
+    assert empty.p == [7, 7, 7] and empty.c == []
+
+
+def test_padding_of_whole_columns(spark):
+    flat = spark.createDataFrame([([1],), ([1, 2, 3],), ([],)], "x array<int>")
+    assert [r.x for r in frames.padded(flat, "x", 0).collect()] == [[1, 0, 0], [1, 2, 3], [0, 0, 0]]
+    assert [r.x for r in frames.padded(flat, "x", 9, left=True).collect()] == [[9, 9, 1], [1, 2, 3], [9, 9, 9]]
+    deep = spark.createDataFrame([([[1], [2, 3]],), ([[4]],)], "x array<array<int>>")
+    assert [r.x for r in frames.padded(deep, "x", 0).collect()] == [[[1, 0], [2, 3]], [[4, 0], [0, 0]]]
