@@ -36,6 +36,8 @@ _BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No pre-token of the vocabulary's pattern starts inside a word after a blank that it doesn't hold, nor goes on from a letter or
 #: digit to a stop, so these pieces are encoded alone. Each is encoded once as long as a worker remembers it.
 CHUNK = re.compile(f"[{_BLANK}]*[^{_BLANK}.,;:!?]*[A-Za-z0-9À-ÖØ-öø-ÿ](?=[.,;:!?])|[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+#: Letters after at most one blank are one pre-token.
+SIMPLE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 CHARS_AT_ONCE = 2_000_000
 REMEMBERED = 1_000_000
 
@@ -115,17 +117,35 @@ def _encoder():
     return cache["bpe"]
 
 
+def _bytes_as_letters() -> dict[int, int]:
+    """The vocabulary's letter for each byte: printable ones stand for themselves, the others for letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+def _encoded(tokenizer, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+    """Each piece with its ids. One that is a pre-token by itself needs the library's model only."""
+    letters, model, rest = _bytes_as_letters(), tokenizer.model, []
+    for p in pieces:
+        if SIMPLE.fullmatch(p):
+            yield p, array("I", [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+        else:
+            rest.append(p)
+    for s in range(0, len(rest), 10_000):
+        part = rest[s : s + 10_000]
+        yield from zip(part, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True)
+
+
 def _pieces(texts: list[str]) -> list[bytes]:
     """The ids of each text, whose pieces are remembered."""
     tokenizer, known = _encoder()
     pieces = [CHUNK.findall(t) for t in texts]
-    new = list({p for found in pieces for p in found if p not in known})
+    all_ = set().union(*pieces)
+    new = all_.difference(known)
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = list({p for found in pieces for p in found})
-    for s in range(0, len(new), 10_000):
-        part = new[s : s + 10_000]
-        known.update(zip(part, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        new = all_
+    known.update(_encoded(tokenizer, list(new)))
     return [b"".join(map(known.__getitem__, found)) for found in pieces]
 
 
