@@ -299,7 +299,7 @@ def test_language_consistency_of_repeated_and_missing_ids(spark):
 
     german = "Die Straße führt über die Brücke und dann weiter."
     russian = "Это предложение написано совсем на другом языке."
-    texts = [(1, f"This is an English sentence, and it is long enough. {russian}"), (1, "All of this is plain English text and stays so."), (None, russian), (None, f"An English text with a German one. {german}"), (4, None), (5, "12345. Да.")]
+    texts = [(1, f"This is an English sentence, and it is long enough.\n\n{russian}"), (1, "All of this is plain English text and stays so."), (None, russian), (None, f"An English text with a German one. {german}"), (4, None), (5, "12345. Да.")]
     df = spark.createDataFrame(texts, "id long, t string")
     rows = consistency.language_consistency(df, "id", F.lit("x"), F.col("t"), F.lit("en"))
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
