@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The first stage's model has no SQL, so run() is tested against brute force instead.
+#: The first stage's model has no SQL. tests/llm/test_pipeline.py holds run() against plain Python on small tables and each stage against its operator.
 ORACLE_SQL = None
 
 
