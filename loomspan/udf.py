@@ -9,6 +9,9 @@ import types
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Rows, and characters of input, whose results a worker holds as Python objects before it hands them on.
+SLICE_ROWS, SLICE_CHARS = 128, 1 << 17
+
 
 def arrow_udf(schema: str):
     def wrap(run):
@@ -21,6 +24,46 @@ def arrow_udf(schema: str):
     return wrap
 
 
+def row_udf(schema: str, setup: bool = False):
+    """An Arrow function from a function of one row's values; with setup, from one that returns that function and is called once a task.
+
+    Results are handed on in small slices, so a worker's memory follows its largest rows, not the rows of an Arrow batch.
+    """
+
+    def wrap(run):
+        @functools.wraps(run)
+        def call(*columns) -> Column:
+            from pyspark.sql.pandas.functions import ArrowUDFType
+            from pyspark.sql.pandas.types import to_arrow_type
+            from pyspark.sql.types import DataType
+
+            kind = to_arrow_type(DataType.fromDDL(schema))
+            slices = functools.partial(_in_slices, run, setup, kind)
+            return F.arrow_udf(lambda batches: slices(batches), schema, ArrowUDFType.SCALAR_ITER)(*columns)
+
+        return call
+
+    return wrap
+
+
+def _in_slices(run, setup: bool, kind, batches):
+    import pyarrow as pa
+
+    one, out, size = run() if setup else run, [], 0
+    for batch in batches:
+        columns = batch if isinstance(batch, tuple) else (batch,)
+        for i in range(len(columns[0])):
+            values = [c[i].as_py() for c in columns]
+            out.append(one(*values))
+            size += sum(len(v) if isinstance(v, (str, bytes, list)) else 1 for v in values)
+            if len(out) >= SLICE_ROWS or size >= SLICE_CHARS:
+                yield pa.array(out, kind)
+                out, size = [], 0
+        if out:
+            yield pa.array(out, kind)
+            out, size = [], 0
+
+
 def worker_cache() -> dict:
     """What a Python worker keeps from task to task."""
     return sys.modules.setdefault("_loomspan_worker", types.ModuleType("_loomspan_worker")).__dict__
