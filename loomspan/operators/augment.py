@@ -6,12 +6,11 @@ import itertools
 import random
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..udf import arrow_udf
+from ..udf import row_udf
 from .frames import ranked
 from .sentences import sentences
 
@@ -37,9 +36,9 @@ def deform(text: str, seed: int) -> str:
     return "\n".join(lines)
 
 
-@arrow_udf("string")
-def deform_udf(texts: pd.Series, seeds: pd.Series) -> pd.Series:
-    return pd.Series([deform(t or "", int(s)) for t, s in zip(texts, seeds, strict=True)])
+@row_udf("string")
+def deform_udf(text, seed):
+    return deform(text or "", int(seed))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -5,31 +5,32 @@ Parsing and splitting run in Python once a text; languages and scores are column
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.text import block_latex, detect_language
-from ..udf import arrow_udf
+from ..udf import row_udf
 from .markdown import parse_tree, text_leaves
 from .sentences import sentences
 
 IGNORED = ("A", "B", "Bracket", "Latex", "CODE", "PreCode", "TABLE")
 EUROPEAN = ("en", "de", "fr")
+SENTENCES = "array<struct<text:string,index:int,tagName:string,scan_length:int>>"
 
 
-@arrow_udf("array<struct<text:string,index:int,tagName:string,scan_length:int>>")
-def plain_sentences(texts: pd.Series) -> pd.Series:
-    def one(text):
-        out = []
-        for start, kind, leaf in text_leaves(parse_tree(text)[0], IGNORED):
-            for s in sentences(leaf):
-                out.append({"text": s, "index": start, "tagName": kind, "scan_length": len(s.encode())})
-                start += len(s)
-        return out
+def plain_sentences_of(root) -> list[dict]:
+    out = []
+    for start, kind, leaf in text_leaves(root, IGNORED):
+        for s in sentences(leaf):
+            out.append({"text": s, "index": start, "tagName": kind, "scan_length": len(s.encode())})
+            start += len(s)
+    return out
 
-    return texts.map(one)
+
+@row_udf(SENTENCES)
+def plain_sentences(text):
+    return plain_sentences_of(parse_tree(text)[0])
 
 
 def target_language(text: Column) -> Column:

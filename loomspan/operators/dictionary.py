@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..udf import arrow_udf
+from ..udf import row_udf
 
 #: Words that may be broadcast as an automaton; beyond it segmentation raises and hits are joined.
 MOST_WORDS = 2_000_000
@@ -109,10 +108,10 @@ def segmenter(spark, words: dict[str, float], spaces: bool = False, digits: bool
     """An Arrow function from text to words; spaces: keep blanks as tokens."""
     shared = spark.sparkContext.broadcast(words)
 
-    @arrow_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
+    @row_udf("array<string>", setup=True)
+    def run():
         machine = Automaton(shared.value)
-        return texts.map(lambda t: [w for w in cut(t or "", machine, digits) if spaces or w.strip()])
+        return lambda t: [w for w in cut(t or "", machine, digits) if spaces or w.strip()]
 
     return run
 
@@ -124,11 +123,11 @@ def tagger(spark, labelled: dict[str, tuple[str, float]]):
     """An Arrow function from text to labelled spans, from word -> (label, score)."""
     shared = spark.sparkContext.broadcast(labelled)
 
-    @arrow_udf("array<struct<begin:int,end:int,label:string>>")
-    def run(texts: pd.Series) -> pd.Series:
+    @row_udf("array<struct<begin:int,end:int,label:string>>", setup=True)
+    def run():
         machine = Automaton(shared.value)
         one = lambda t: [{"begin": b, "end": e, "label": label} for b, e, _, label in ((h[0], h[1], h[2], shared.value[t[h[0] : h[1]]][0]) for h in best_cover([(b, e, float(v[1])) for b, e, v in machine.hits(t)], len(t)))]
-        return texts.map(lambda t: one(t or ""))
+        return lambda t: one(t or "")
 
     return run
 
@@ -147,10 +146,10 @@ def dictionary_hits(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_i
         return _joined_hits(docs, words, id_col, text_col).withColumnRenamed("word", word_col)
     shared = docs.sparkSession.sparkContext.broadcast([r[0] for r in words.collect()])
 
-    @arrow_udf("array<struct<begin:int,end:int,word:string>>")
-    def run(texts: pd.Series) -> pd.Series:
+    @row_udf("array<struct<begin:int,end:int,word:string>>", setup=True)
+    def run():
         machine = Automaton(dict.fromkeys(shared.value, 0))
-        return texts.map(lambda t: [{"begin": b, "end": e, "word": t[b:e]} for b, e, _ in (machine.leftmost_longest(t) if longest else machine.hits(t))] if t else [])
+        return lambda t: [{"begin": b, "end": e, "word": t[b:e]} for b, e, _ in (machine.leftmost_longest(t) if longest else machine.hits(t))] if t else []
 
     return docs.select(id_col, F.explode(run(text_col)).alias("h")).select(id_col, "h.begin", "h.end", F.col("h.word").alias(word_col))
 
