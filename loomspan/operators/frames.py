@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import pad
+from ..udf import row_udf
+from .markdown import containers
 
 
 def select_rows(df: DataFrame, fields: list[str] | str = "*", where: str | Column | None = None, order: Column | str | None = None, limit: int | None = None, offset: int = 0, **conditions) -> DataFrame:
@@ -152,10 +154,21 @@ def training_flag(df: DataFrame, seed: int = 0) -> DataFrame:
     return df if "training" in df.columns else df.withColumn("training", F.floor(F.rand(seed) * 2).cast("int"))
 
 
+@row_udf("array<struct<start:bigint,stop:bigint,kind:string>>")
+def _containers(spans, nodes):
+    return containers([tuple(n.values()) for n in nodes], [tuple(s.values()) for s in spans])
+
+
 def containing_node(spans: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """spans (keys, start, stop) with the kind of the innermost node (keys, start_idx, end_idx, kind) around them."""
-    met = spans.join(nodes, keys).where((F.col("start_idx") <= F.col("start")) & (F.col("stop") <= F.col("end_idx")))
-    return met.groupBy(*keys, "start", "stop").agg(F.max_by("kind", F.struct("start_idx", -F.col("end_idx"), "depth")).alias("kind"))
+    """spans (keys, start, stop) with the kind of the innermost node (keys, start_idx, end_idx, depth, kind) around them.
+
+    The spans and the nodes of a key meet as two lists, which are read once in order of their starts; no pairs are made.
+    """
+    own = spans.groupBy(*keys).agg(F.collect_set(F.struct(F.col("start").cast("long"), F.col("stop").cast("long"))).alias("_spans"))
+    other = nodes.groupBy(*keys).agg(F.collect_list(F.struct(F.col("start_idx").cast("long"), F.col("end_idx").cast("long"), "depth", "kind")).alias("_nodes"))
+    found = own.join(other, keys).select(*keys, F.explode(_containers("_spans", "_nodes")).alias("_c"))
+    kinds = {c: spans.schema[c].dataType for c in ("start", "stop")}
+    return found.select(*keys, *(F.col(f"_c.{c}").cast(kinds[c]).alias(c) for c in kinds), "_c.kind")
 
 
 def padded(df: DataFrame, column: str, fill, left: bool = False) -> DataFrame:

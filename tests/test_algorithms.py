@@ -306,3 +306,30 @@ def test_language_consistency_of_repeated_and_missing_ids(spark):
     got = [(r.id, [e.text.strip() for e in r.error], r.score) for r in rows.collect()]
     assert [g[:2] for g in got] == [(1, [russian]), (1, []), (None, [russian]), (None, []), (4, []), (5, [])]
     assert got[1][2] == 0 and abs(got[0][2] + len(russian.encode()) / 32) < 0.1
+
+
+def test_innermost_against_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loomspan.operators import frames, markdown
+
+    rng = random.Random(5)
+    for _ in range(200):
+        nodes = [(a, a + rng.randint(0, 9), rng.randint(0, 3), f"k{i}") for i in range(rng.randint(0, 12)) for a in [rng.randint(0, 20)]]
+        spans = [(a, a + rng.randint(0, 5)) for _ in range(8) for a in [rng.randint(0, 22)]]
+        want = []
+        for a, b in sorted(set(spans)):
+            inside = [n for n in sorted(nodes, key=lambda n: (n[0], -n[1], n[2])) if n[0] <= a and b <= n[1]]
+            want += [{"start": a, "stop": b, "kind": inside[-1][3]}] if inside else []
+        assert markdown.containers(nodes, spans) == want
+    spans = spark.createDataFrame([(1, 3, 4), (1, 3, 4), (1, 50, 51), (2, 0, 1)], "id int, start int, stop int")
+    nodes = spark.createDataFrame([(1, 0, 9, "P", 1), (1, 2, 5, "B", 2), (2, 1, 4, "P", 1)], "id int, start_idx int, end_idx int, kind string, depth int")
+    out = frames.containing_node(spans, nodes, ["id"])
+    assert [tuple(r) for r in out.collect()] == [(1, 3, 4, "B")] and out.columns == ["id", "start", "stop", "kind"]
+    assert "Join" in out._jdf.queryExecution().optimizedPlan().toString() and "_spans" in out._jdf.queryExecution().optimizedPlan().toString()
+    many = spark.range(1).select("id", F.posexplode(F.sequence(F.lit(0), F.lit(19_999))).alias("start", "x"))
+    ends = many.select("id", F.col("start").alias("start_idx"), F.lit(20_000).alias("end_idx"), F.format_string("k%d", "start").alias("kind"), F.lit(1).alias("depth"))
+    got = frames.containing_node(many.select("id", "start", (F.col("start") + 1).alias("stop")), ends, ["id"])
+    assert got.where(F.col("kind") == F.format_string("k%d", "start")).count() == 20_000
