@@ -25,3 +25,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df for work that costs much a row: dealt to all cores where the scan has fewer partitions than there are cores, else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(df: DataFrame, each: int = 4) -> DataFrame:
+    """df for work that costs seconds a row group: always dealt anew, to `each` tasks a core at least. A scan's partitions don't tell: those that hold no beginning of a row group are empty."""
+    return df.repartition(max(each * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
