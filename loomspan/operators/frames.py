@@ -83,11 +83,16 @@ def error_rate(df: DataFrame, right: Column) -> DataFrame:
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
-    """keys, start, stop: overlapping and touching intervals of each key as one (gaps and islands)."""
-    w = Window.partitionBy(*keys).orderBy(start, stop)
-    reach = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum((F.coalesce(F.col(start) > reach, F.lit(True))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.where(F.col(start) < F.col(stop)).withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(start).alias("start"), F.max(stop).alias("stop")).drop("_island")
+    """keys, start, stop: overlapping and touching intervals of each key as one (gaps and islands).
+
+    An island is given out at its last row, after one sort: no table of islands is kept in memory.
+    """
+    w = Window.partitionBy(*keys).orderBy("_start", "_stop")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.where(F.col(start) < F.col(stop)).select(*keys, F.col(start).alias("_start"), F.col(stop).alias("_stop"))
+    rows = rows.withColumn("_before", F.max("_stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_reach", F.max("_stop").over(so_far)).withColumn("_next", F.lead("_start").over(w))
+    rows = rows.withColumn("_first", F.max(F.when(F.col("_before").isNull() | (F.col("_start") > F.col("_before")), F.col("_start"))).over(so_far))
+    return rows.where("_next IS NULL OR _next > _reach").select(*keys, F.col("_first").alias("start"), F.col("_reach").alias("stop"))
 
 
 def intersect_intervals(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -216,3 +216,23 @@ def test_padding_of_whole_columns(spark):
     assert [r.x for r in frames.padded(flat, "x", 9, left=True).collect()] == [[9, 9, 1], [1, 2, 3], [9, 9, 9]]
     deep = spark.createDataFrame([([[1], [2, 3]],), ([[4]],)], "x array<array<int>>")
     assert [r.x for r in frames.padded(deep, "x", 0).collect()] == [[[1, 0], [2, 3]], [[4, 0], [0, 0]]]
+
+
+def test_merged_intervals_need_no_table_of_islands(spark):
+    import random
+
+    from loomspan.operators import frames
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, None]), a, a + rng.randint(0, 6)) for _ in range(300) for a in [rng.randint(0, 400)]]
+    want = []
+    for key in (None, 1, 2):
+        for a, b in sorted((a, b) for k, a, b in rows if k == key and a < b):
+            if want and want[-1][0] == key and a <= want[-1][2]:
+                want[-1][2] = max(want[-1][2], b)
+            else:
+                want.append([key, a, b])
+    out = frames.merge_intervals(spark.createDataFrame(rows, "k int, start long, stop long"), ["k"], "start", "stop")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Sort [") == 1
+    assert sorted(map(str, (list(r) for r in out.collect()))) == sorted(map(str, want)) and out.columns == ["k", "start", "stop"]
