@@ -1,5 +1,7 @@
 """Row functions hand on their results in small slices."""
 
+import tracemalloc
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -28,3 +30,20 @@ def test_row_functions_run_in_slices(spark, run):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in plan
     assert [r.id for r in out.collect()] == list(range(300)) and out.where("v IS NULL").count() == 0
+
+
+def peak(run, texts, kind=None, setup=False, **more):
+    """Bytes that a row function holds at most in Python and NumPy over one Arrow batch of texts."""
+    batch = pa.array(texts, pa.string())
+    tracemalloc.start()
+    try:
+        assert sum(map(len, udf._in_slices(run.__wrapped__, setup, kind, iter([batch]), **more))) == len(texts)
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_sentences_of_a_batch_are_not_held_together():
+    text = "This is a sentence of plain text. Das ist ein anderer Satz, und er ist lang. " * 8
+    few, many = (peak(consistency.plain_sentences, [f"{i}. {text}" for i in range(n)]) for n in (500, 4000))
+    assert many < 1.5 * few
