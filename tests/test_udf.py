@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from loomspan import udf
-from loomspan.operators import consistency, formula, markdown, markup, repetition, sentences
+from loomspan.operators import consistency, dictionary, formula, markdown, markup, repetition, sentences
 
 
 def test_results_are_handed_on_before_the_batch_ends():
@@ -47,3 +47,19 @@ def test_sentences_of_a_batch_are_not_held_together():
     text = "This is a sentence of plain text. Das ist ein anderer Satz, und er ist lang. " * 8
     few, many = (peak(consistency.plain_sentences, [f"{i}. {text}" for i in range(n)]) for n in (500, 4000))
     assert many < 1.5 * few
+
+
+def test_pieces_of_a_batch_are_not_held_together(spark):
+    words = {"he": 1.0, "she": 1.5, "hers": 2.0, "us": 1.0}
+    cut, tag = dictionary.segmenter(spark, words), dictionary.tagger(spark, {w: (dictionary.LABELS[len(w) % 6], v) for w, v in words.items()})
+    for run in (cut, tag):
+        few, many = (peak(run, [f"{i} ushers and she, he is hers or us " * 8 for i in range(n)], setup=True) for n in (500, 4000))
+        assert many < 1.5 * few
+    texts = ["ushers, she", None, "", *(f"he {i} us" for i in range(1000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    hits = dictionary.dictionary_hits(df, spark.createDataFrame([(w,) for w in words], "word string"), "id", "t")
+    machine = dictionary.Automaton(words)
+    assert {r.id: r.w for r in df.select("id", cut("t").alias("w")).collect()} == {i: [w for w in dictionary.cut(t or "", machine) if w.strip()] for i, t in enumerate(texts)}
+    assert sorted(map(tuple, hits.collect())) == sorted((i, b, e, t[b:e]) for i, t in enumerate(texts) if t for b, e, _ in machine.hits(t))
+    for out in (df.select(cut("t")), df.select(tag("t")), hits):
+        assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in out._jdf.queryExecution().optimizedPlan().toString()
