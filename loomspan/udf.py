@@ -24,10 +24,11 @@ def arrow_udf(schema: str):
     return wrap
 
 
-def row_udf(schema: str, setup: bool = False):
+def row_udf(schema: str, setup: bool = False, build=None):
     """An Arrow function from a function of one row's values; with setup, from one that returns that function and is called once a task.
 
     Results are handed on in small slices, so a worker's memory follows its largest rows, not the rows of an Arrow batch.
+    build makes the Arrow array of a slice's results, given them and the Arrow type; without it they are Python values.
     """
 
     def wrap(run):
@@ -38,7 +39,7 @@ def row_udf(schema: str, setup: bool = False):
             from pyspark.sql.types import DataType
 
             kind = to_arrow_type(DataType.fromDDL(schema))
-            slices = functools.partial(_in_slices, run, setup, kind)
+            slices = functools.partial(_in_slices, run, setup, kind, build=build)
             return F.arrow_udf(lambda batches: slices(batches), schema, ArrowUDFType.SCALAR_ITER)(*columns)
 
         return call
@@ -46,9 +47,10 @@ def row_udf(schema: str, setup: bool = False):
     return wrap
 
 
-def _in_slices(run, setup: bool, kind, batches):
+def _in_slices(run, setup: bool, kind, batches, build=None):
     import pyarrow as pa
 
+    build = build or pa.array
     one, out, size = run() if setup else run, [], 0
     for batch in batches:
         columns = batch if isinstance(batch, tuple) else (batch,)
@@ -57,10 +59,10 @@ def _in_slices(run, setup: bool, kind, batches):
             out.append(one(*values))
             size += sum(len(v) if isinstance(v, (str, bytes, list)) else 1 for v in values)
             if len(out) >= SLICE_ROWS or size >= SLICE_CHARS:
-                yield pa.array(out, kind)
+                yield build(out, kind)
                 out, size = [], 0
         if out:
-            yield pa.array(out, kind)
+            yield build(out, kind)
             out, size = [], 0
 
 

@@ -1,6 +1,8 @@
 """Row functions hand on their results in small slices."""
 
+import random
 import tracemalloc
+from collections import defaultdict
 
 import pyarrow as pa
 import pytest
@@ -63,3 +65,22 @@ def test_pieces_of_a_batch_are_not_held_together(spark):
     assert sorted(map(tuple, hits.collect())) == sorted((i, b, e, t[b:e]) for i, t in enumerate(texts) if t for b, e, _ in machine.hits(t))
     for out in (df.select(cut("t")), df.select(tag("t")), hits):
         assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_cost_no_python_objects(spark):
+    """A long text's windows take tens of bytes each, and are those of a plain search."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcd efgh") for _ in range(200_000)) * 2
+    windows = pa.list_(pa.struct({"gram": pa.binary(), "n": pa.int64(), "first": pa.int32(), "last": pa.int32(), "positions": pa.list_(pa.int32())}))
+    assert peak(repetition.equal_windows, [text], windows, build=repetition.window_lists) < 80 * len(text)
+    texts = [None, "", "a" * 7, "a" * 8, "a" * 9, "a" * 30, "äöü" * 9, "\0" * 20, "😀ab" * 5, *("".join(rng.choice("ab\0é") for _ in range(rng.randint(0, 300))) for _ in range(300))]
+
+    def plain(t):
+        data, found = (t or "").encode(), defaultdict(list)
+        for i in range(len(data) - 7):
+            found[data[i : i + 8]].append(i)
+        return [(g, len(p), p[0], p[-1], p) for g, p in sorted(found.items()) if len(p) > 1]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    got = {r.id: [(bytes(w.gram), w.n, w.first, w.last, w.positions) for w in r.w] for r in df.select("id", repetition.equal_windows("t").alias("w")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
